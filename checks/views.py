@@ -78,23 +78,23 @@ SELECT *, {region_case('canton_code', True)} AS alpine_region FROM (
     "v_measurements": """
 SELECT event_id AS nr, concat('S', CAST(user_id AS VARCHAR)) AS station_code,
   strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS measure_date, ts AS measure_ts, CAST(ts AS DATE) AS date,
-  CASE WHEN event_type <> 'view' THEN value END AS HS,
-  CASE WHEN event_type <> 'error' THEN value / 10e0 - 20e0 END AS TA_30MIN_MEAN,
+  CASE WHEN event_type <> 'view' THEN value * 1.0173926451733e0 END AS HS,
+  CASE WHEN event_type <> 'error' THEN value * 0.0973126457311e0 - 20e0 END AS TA_30MIN_MEAN,
   CAST(event_id % 101 AS DOUBLE) AS RH_30MIN_MEAN,
-  value / 12e0 - 25e0 AS TSS_30MIN_MEAN,
-  CASE WHEN event_type <> 'signup' THEN (event_id % 50) / 10e0 - 5e0 END AS TS0_30MIN_MEAN,
+  value * 0.0831726459107e0 - 25e0 AS TSS_30MIN_MEAN,
+  CASE WHEN event_type <> 'signup' THEN (event_id % 50) * 0.1029384756473e0 - 5e0 END AS TS0_30MIN_MEAN,
   (event_id % 40) / 10e0 - 4e0 AS TS25_30MIN_MEAN,
   (event_id % 30) / 10e0 - 3e0 AS TS50_30MIN_MEAN,
   (event_id % 20) / 10e0 - 2e0 AS TS100_30MIN_MEAN,
   CAST(event_id % 700 AS DOUBLE) AS RSWR_30MIN_MEAN,
-  CASE WHEN event_type IN ('click', 'view', 'error') THEN value / 20e0 END AS VW_30MIN_MEAN,
-  CASE WHEN event_type IN ('click', 'view', 'error') THEN value / 10e0 END AS VW_30MIN_MAX,
+  CASE WHEN event_type IN ('click', 'view', 'error') THEN value * 0.0517394820167e0 END AS VW_30MIN_MEAN,
+  CASE WHEN event_type IN ('click', 'view', 'error') THEN value * 0.1013729104733e0 END AS VW_30MIN_MAX,
   CAST(event_id % 360 AS DOUBLE) AS DW_30MIN_MEAN, CAST(event_id % 45 AS DOUBLE) AS DW_30MIN_SD
 FROM events WHERE user_id % 11 <> 3""",
     "v_snow": f"""
 SELECT *, {HYEAR} FROM (
   SELECT concat('S', CAST(user_id AS VARCHAR)) AS station_code, CAST(ts AS DATE) AS measure_date,
-    max(value) AS HS, min(value) / 10e0 AS HN_1D
+    max(value) * 1.0173926451733e0 AS HS, min(value) * 0.0983174629151e0 AS HN_1D
   FROM events WHERE event_type IN ('purchase', 'signup', 'click') GROUP BY user_id, CAST(ts AS DATE)) w0""",
     "v_accidents": f"""
 SELECT *, {region_case('canton', False)} AS alpine_region FROM (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -9,11 +11,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from firnline.operators.scaling import Scaler, dot, project
 from firnline.vocabulary import CLUSTER_CENTRES, FEATURES
 
 MAX_ITER = 300
+SHIFT = 1e-4  # stop once the squared shifts of all centres sum up to less than this
 SEEDS = (0, 1, 2)
 
 
@@ -33,14 +37,20 @@ def vectors(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(rows)
 
 
+def _fits(points: DataFrame, settings: list[tuple[int, int]]) -> list:
+    """One model per (k, seed). Fits are chains of short jobs, so several run side by side."""
+    def fit(setting: tuple[int, int]):
+        k, seed = setting
+        return KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=math.sqrt(SHIFT / k)).fit(points)
+
+    with ThreadPoolExecutor(max_workers=len(settings)) as pool:
+        # each thread keeps the caller's job group and local properties
+        return list(pool.map(lambda s: inheritable_thread_target(points.sparkSession)(fit)(s), settings))
+
+
 def _best_fit(points: DataFrame, k: int, seeds=SEEDS):
     """Lowest-cost model over several seeds: one seed depends on how rows are partitioned."""
-    best = None
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=1e-6, initSteps=5).fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    return min(_fits(points, [(k, seed) for seed in seeds]), key=lambda model: model.summary.trainingCost)
 
 
 def canonical_labels(centres: list[list[float]], stored: dict[int, list[float]] | None = None) -> dict[int, list[float]]:
@@ -80,13 +90,11 @@ def elbow(rows: DataFrame, columns: list[str], ks: range = range(1, 11)) -> Data
     """Cost of the best fit per k; the vectors are cached once for all fits."""
     points = vectors(rows.select(*columns), columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        costs = []
-        for k in ks:
-            if k == 1:  # closed form: squared distances from the mean
-                wide = rows.agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in columns]).first()
-                costs.append((1, float(wide["n"] * sum(wide[c] or 0.0 for c in columns))))
-            else:
-                costs.append((k, float(_best_fit(points, k, seeds=SEEDS[:1]).summary.trainingCost)))
+        models = _fits(points, [(k, SEEDS[0]) for k in ks if k > 1])
+        costs = [(m.getK(), float(m.summary.trainingCost)) for m in models]
+        if 1 in ks:  # closed form: squared distances from the mean
+            wide = rows.agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in columns]).first()
+            costs.append((1, float(wide["n"] * sum(wide[c] or 0.0 for c in columns))))
     finally:
         points.unpersist()
     return rows.sparkSession.createDataFrame(costs, "k INT, inertia DOUBLE")

@@ -1,9 +1,9 @@
 """Exact median of groups that are too large for one aggregation buffer.
 
 Spark's ``median`` keeps every distinct value of a group in one buffer. For groups
-with very many rows the value range that must hold the median is narrowed first, by
-a mergeable quantile sketch; rows outside it are only counted. After two rounds the
-rows that remain are a tiny share of the group.
+with very many rows, a mergeable quantile sketch first gives two values close to the
+middle and on either side of it. Rows below them are only counted, rows above are
+dropped; what is left to rank is a tiny share of the group.
 """
 
 from __future__ import annotations
@@ -11,51 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+ACCURACY = 200_000
 MARGIN = 4.0 / ACCURACY  # four times the rank error the sketch allows
 
 
-def bracketed_median(rows: DataFrame, keys: list[str], value: str, rounds: int = 2) -> DataFrame:
+def bracketed_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value) with the exact median of the non-NULL values per group.
 
     ``rows`` holds only large groups: their number is at most rows / threshold, so the
-    one-row-per-group tables joined here are small whatever the size of the input.
+    table of one row per group that is joined here is small whatever the input.
     """
     rows = rows.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL")
-    # ranks r1 <= r2 of the middle values; equal for an odd count
-    state = rows.groupBy(*keys).agg(F.count("*").alias("_n")).select(
-        *keys, F.expr("(_n + 1) div 2").alias("_r1"), F.expr("_n div 2 + 1").alias("_r2"),
-        F.lit(0).cast("bigint").alias("_below"),
+    sketch = F.percentile_approx("_v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
+    edges = rows.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_e")).select(
+        *keys, "_n", F.col("_e")[0].alias("_low"), F.col("_e")[1].alias("_high")
     )
-    for _ in range(rounds):
-        placed = rows.join(F.broadcast(state), keys)
-        count, sketch = F.count("*"), F.percentile_approx
-        # both middle ranks as shares of the rows still inside, through a fixed grid of shares
-        edges = placed.groupBy(*keys, "_r1", "_r2", "_below").agg(
-            count.alias("_n"),
-            sketch("_v", [i / 2048 for i in range(2049)], ACCURACY).alias("_q"),
-        )
-        at = lambda rank, sign: F.expr(
-            f"_q[int(least(2048, greatest(0, {'floor' if sign < 0 else 'ceil'}("
-            f"((({rank} - _below) / _n) {'-' if sign < 0 else '+'} {MARGIN}) * 2048))))]"
-        )
-        bracket = edges.select(*keys, "_r1", "_r2", "_below", at("_r1", -1).alias("_lo"), at("_r2", 1).alias("_hi"))
-        placed = rows.join(F.broadcast(bracket), keys)
-        state = placed.groupBy(*keys, "_r1", "_r2", "_below").agg(
-            F.count_if(F.col("_v") < F.col("_lo")).alias("_cut")
-        ).select(*keys, "_r1", "_r2", (F.col("_below") + F.col("_cut")).alias("_below"))
-        rows = placed.where("_v BETWEEN _lo AND _hi").select(*keys, "_v")
-
-    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(F.broadcast(state), keys).withColumn("_upto", F.sum("_c").over(running) + F.col("_below"))
-    first = lambda rank: F.min(F.when(F.col("_upto") >= F.col(rank), F.col("_v")))
-    return ranked.groupBy(*keys).agg(
-        first("_r1").alias("_m1"), first("_r2").alias("_m2"),
-        F.min(F.col("_upto") - F.col("_c")).alias("_least"), F.min("_r1").alias("_rank"),
+    # everything below the bracket counts under the value NULL, which sorts first
+    inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")
+    counted = (
+        rows.join(F.broadcast(edges), keys).where(F.col("_v") <= F.col("_high"))
+        .groupBy(*keys, "_n", inside).agg(F.count("*").alias("_c"))
+    )
+    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    first = lambda rank: F.min(F.when(F.col("_upto") >= F.expr(rank), F.col("_v")))
+    return counted.withColumn("_upto", F.sum("_c").over(upto)).groupBy(*keys, "_n").agg(
+        first("(_n + 1) div 2").alias("_m1"), first("_n div 2 + 1").alias("_m2"),
+        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
     ).select(
         *keys,
-        # the bracket must have held both ranks; never return a wrong value quietly
-        F.when(F.col("_m2").isNotNull() & (F.col("_least") < F.col("_rank")), (F.col("_m1") + F.col("_m2")) / 2)
+        # both middle rows must lie inside the bracket; never return a wrong value quietly
+        F.when(F.col("_m2").isNotNull() & (F.col("_below") < F.expr("(_n + 1) div 2")), (F.col("_m1") + F.col("_m2")) / 2)
         .otherwise(F.raise_error(F.lit("median left its bracket"))).alias(value),
     )

@@ -603,7 +603,8 @@ def kmeans_fit(spark, d):
 @query
 def pca_fit(spark, d):
     rows = A.training(spark, d)
-    axes = _model(rows).components
+    scaled = scaling.Scaler.fit(rows, _F).apply(rows)
+    axes = clusters.pca_components(clusters.vectors(scaled, _Z))
     cells = [(i + 1, f, float(w)) for i, axis in enumerate(axes) for f, w in zip(_F, axis)]
     return rounded(spark.createDataFrame(cells, "component INT, feature STRING, loading DOUBLE"), "loading")
 

@@ -48,12 +48,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write rows to the shared folder and go on from there.
+
+    This cuts the lineage like a checkpoint, but computes the rows only once, keeps
+    them by column, and survives the loss of executors.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
