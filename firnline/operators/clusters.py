@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
+from firnline.operators.filters import present
 from firnline.operators.scaling import Scaler, dot, project
 from firnline.vocabulary import CLUSTER_CENTRES, FEATURES
 
@@ -112,7 +113,7 @@ class RiskModel:
     def fit(cls, training: DataFrame, features: list[str] = FEATURES, k: int = 5,
             stored: dict[int, tuple] | None = CLUSTER_CENTRES, components: int = 2) -> RiskModel:
         """Fit on the complete rows. ``stored`` holds centres in original units that name the clusters."""
-        complete = training.dropna(subset=features)
+        complete = present(training, features)
         scaler = Scaler.fit(complete, features)
         names = [f"z{i + 1}" for i in range(len(features))]
         points = vectors(scaler.apply(complete.select(*features)).select(*names), names).select("features")
@@ -134,7 +135,7 @@ class RiskModel:
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Complete rows with PCA1, PCA2 and k_cluster. Row by row, so it also runs on a stream."""
-        ready = self.scaler.apply(rows.dropna(subset=self.scaler.features))
+        ready = self.scaler.apply(present(rows, self.scaler.features))
         ready = project(ready, self.names, self.components)
         return ready.withColumn("k_cluster", nearest_centre(self.names, self.centres)).drop(*self.names)
 
@@ -173,7 +174,7 @@ def cluster_profile(rows: DataFrame, features: list[str] = FEATURES, cluster: st
     At convergence a k-means centre is the mean of its rows, which one aggregation gives
     together with the counts; fitted ``centres`` (original units) take their place if given.
     """
-    per = rows.dropna(subset=[cluster]).groupBy(cluster).agg(
+    per = present(rows, [cluster]).groupBy(cluster).agg(
         *[F.avg(f).alias(f) for f in features], F.count("*").alias("n")
     )
     if centres:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions.dates import in_years
 from firnline.functions.numbers import floor_bin, min_max
+from firnline.operators.filters import present
 from firnline.vocabulary import HEATMAP_FEATURES, WINTER_MONTHS
 
 
@@ -17,7 +18,7 @@ def spread_counts(rows: DataFrame, keys: list[str], column: Column, values: list
     group, pivot and fill.
     """
     width = len(str(max(values)))
-    return rows.dropna(subset=keys).groupBy(*keys).agg(
+    return present(rows, keys).groupBy(*keys).agg(
         *[F.count_if(column == v).alias(f"{prefix}{v:0{width}d}") for v in values]
     )
 
@@ -37,7 +38,7 @@ def accidents_by_region(accidents: DataFrame, clusters: int = 5) -> DataFrame:
 
 
 def max_yearly_accidents(accidents: DataFrame) -> DataFrame:
-    rows = accidents.select("alpine_region", F.year("date").alias("year"), "k_cluster").dropna()
+    rows = present(accidents, ["alpine_region", "date", "k_cluster"]).select("alpine_region", F.year("date").alias("year"))
     return rows.groupBy("alpine_region", "year").agg(F.count("*").alias("n")).agg(F.max("n").alias("max_accidents"))
 
 
@@ -50,17 +51,17 @@ def accidents_by_month(accidents: DataFrame, months: list[int] = WINTER_MONTHS)
 def risk_matrix(scored: DataFrame, group: str, day: str = "measure_date", most_frequent: bool = False) -> DataFrame:
     """Mean cluster label per (group, day); optionally the most frequent label instead."""
     label = F.mode("k_cluster", True).cast("double") if most_frequent else F.avg("k_cluster")
-    return scored.dropna(subset=[group, day]).groupBy(group, day).agg(label.alias("k_mean"))
+    return present(scored, [group, day]).groupBy(group, day).agg(label.alias("k_mean"))
 
 
 def cluster_share(rows: DataFrame, cluster: str = "k_cluster") -> DataFrame:
     """Rows and percentage per cluster; the window runs over one row per cluster."""
-    counts = rows.dropna(subset=[cluster]).groupBy(cluster).agg(F.count("*").alias("n"))
+    counts = present(rows, [cluster]).groupBy(cluster).agg(F.count("*").alias("n"))
     return counts.withColumn("percentage", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def cluster_means(rows: DataFrame, columns: list[str], cluster: str = "k_cluster") -> DataFrame:
-    return rows.dropna(subset=[cluster]).groupBy(cluster).agg(*[F.avg(c).alias(c) for c in columns])
+    return present(rows, [cluster]).groupBy(cluster).agg(*[F.avg(c).alias(c) for c in columns])
 
 
 def normalised_cluster_means(rows: DataFrame, columns: list[str], cluster: str = "k_cluster") -> DataFrame:

@@ -25,17 +25,18 @@ def outer_weather_snow(weather: DataFrame, snow: DataFrame, one_snow_row_per_day
     return weather.join(snow, KEYS, "full_outer")
 
 
-def with_stations(stations: DataFrame, measures: DataFrame) -> DataFrame:
+def with_stations(stations: DataFrame, measures: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Stations LEFT JOIN measures, written so that the measures never move for a hot station.
 
     A left join with the dimension on the kept side cannot broadcast the dimension and
     cannot split a hot station. The same rows come from an inner join (dimension
     broadcast behind a size check, otherwise a shuffle join whose hot keys AQE splits)
-    plus the stations that no measure names.
+    plus the stations that no measure names. ``seen`` gives the station codes of the
+    measures where they can be had for less than the measures themselves.
     """
     side = broadcast_if_small(stations)
     matched = measures.join(side, measures["station_code"] == stations["code"], "inner")
-    seen = measures.select(F.col("station_code").alias("_seen")).distinct()
+    seen = (measures if seen is None else seen).select(F.col("station_code").alias("_seen")).distinct()
     silent = stations.join(seen, stations["code"] == seen["_seen"], "left_anti")
     columns = [stations[c] for c in stations.columns] + [measures[c] for c in measures.columns]
     return matched.select(*columns).unionByName(silent, allowMissingColumns=True)
@@ -53,7 +54,9 @@ def live_table(stations: DataFrame, weather: DataFrame, snow: DataFrame) -> Data
         "region_id": region_id(F.col("alpine_region")),
         "elevation_group": elevation_group(F.col("elevation")),
     })
-    return with_stations(described, outer_weather_snow(weather, snow))
+    # the codes alone need neither the join nor the aggregates below it
+    seen = weather.select("station_code").union(snow.select("station_code"))
+    return with_stations(described, outer_weather_snow(weather, snow), seen)
 
 
 def snow_enriched(snow: DataFrame, stations: DataFrame) -> DataFrame:

@@ -59,8 +59,15 @@ def since_hyear(rows: DataFrame, after: str, column: str = "hyear") -> DataFrame
     return rows.where(F.col(column) > F.lit(after))
 
 
+def present(rows: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows with a value in every column; single conditions, so that they reach the scan."""
+    for column in columns:
+        rows = rows.where(F.col(column).isNotNull())
+    return rows
+
+
 def complete(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return rows.dropna(subset=columns or FEATURES)
+    return present(rows, columns or FEATURES)
 
 
 def with_region(rows: DataFrame, column: str = "alpine_region") -> DataFrame:

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from firnline.session import is_large
+
 
 def moving_average(rows: DataFrame, columns: list[str], n: int, order: list[str], by: list[str] | None = None,
-                   suffix: str = "_avg") -> DataFrame:
+                   block: Column | None = None, suffix: str = "_avg") -> DataFrame:
     """Mean of the last n rows; NULL until n rows are there or while one of them is NULL.
 
-    The frame counts rows, not days. ``rows`` is a daily table: a partition holds one
-    row per day of one station (or of all of them together, without ``by``), so its
-    length is the number of days on record and not the size of the raw input.
+    The frame counts rows, not days. Without ``by``, ``rows`` is a table of one row per
+    day, so the single window is as long as the record in days and does not grow with
+    the stations. With ``by`` and a ``block``, large inputs are averaged in pieces.
     """
-    spec = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(1 - n, 0)
+    if by and block is not None and is_large(rows):
+        return moving_average_in_blocks(rows, columns, n, order, by, block, suffix=suffix)
+    return _average(rows, columns, n, Window.partitionBy(*(by or [])).orderBy(*order), suffix)
+
+
+def _average(rows: DataFrame, columns: list[str], n: int, spec: WindowSpec, suffix: str) -> DataFrame:
+    frame = spec.rowsBetween(1 - n, 0)
     return rows.withColumns({
-        c + suffix: F.when(F.count(c).over(spec) == n, F.avg(c).over(spec)) for c in columns
+        c + suffix: F.when(F.count(c).over(frame) == n, F.avg(c).over(frame)) for c in columns
     })
 
 
 def moving_average_in_blocks(rows: DataFrame, columns: list[str], n: int, order: list[str], by: list[str],
-                             block, chunk: int = 1 << 20, suffix: str = "_avg") -> DataFrame:
+                             block: Column, chunk: int = 1 << 20, suffix: str = "_avg") -> DataFrame:
     """The same for groups of any length, cut into pieces of ``chunk`` rows.
 
     ``block`` is a coarse, monotone function of the order column (such as the year).
@@ -46,8 +54,5 @@ def moving_average_in_blocks(rows: DataFrame, columns: list[str], n: int, order:
     pieces = placed.withColumn("_home", home).withColumn(
         "_piece", F.explode(F.when(lead_in, F.array(home, home + 1)).otherwise(F.array(home)))
     )
-    spec = Window.partitionBy(*by, "_piece").orderBy("_pos").rowsBetween(1 - n, 0)
-    averaged = pieces.withColumns({
-        c + suffix: F.when(F.count(c).over(spec) == n, F.avg(c).over(spec)) for c in columns
-    })
+    averaged = _average(pieces, columns, n, Window.partitionBy(*by, "_piece").orderBy("_pos"), suffix)
     return averaged.where("_piece = _home").drop("_pos", "_home", "_piece")

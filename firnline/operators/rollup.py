@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firnline.operators.filters import present
 from firnline.operators.medians import bracketed_median
 from firnline.session import HOT_ROWS, is_large
 from firnline.vocabulary import ROLLUP_MAXIMA, ROLLUP_MEANS, ROLLUP_MEDIANS
@@ -30,7 +31,7 @@ def daily_rollup(
     One pass with partial aggregation. On large inputs the groups above ``hot_rows``
     rows, if any, get their medians by the bracketed plan.
     """
-    rows = rows.dropna(subset=keys)
+    rows = present(rows, keys)
     plain = [F.min(first).alias(first)]
     plain += [F.avg(c).alias(c) for c in means] + [F.max(c).alias(c) for c in maxima]
     order = [*keys, first, *medians, *means, *maxima]
@@ -51,7 +52,7 @@ def daily_rollup(
 
 def means_per_day(rows: DataFrame, day: str, columns: list[str]) -> DataFrame:
     """Mean of several measures per day in one pass."""
-    return rows.dropna(subset=[day]).groupBy(day).agg(*[F.avg(c).alias(c) for c in columns])
+    return present(rows, [day]).groupBy(day).agg(*[F.avg(c).alias(c) for c in columns])
 
 
 def scalar_stats(rows: DataFrame, column: str) -> DataFrame:

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firnline.operators.filters import present
 from firnline.vocabulary import FEATURES
 
 
 def scaler_fit(rows: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     """One row per feature with its mean and population deviation, from one pass."""
-    wide = rows.dropna(subset=features).agg(
+    wide = present(rows, features).agg(
         *[e for f in features for e in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]
     )
     pairs = F.array(*[

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from firnline.functions.places import alpine_region_hist, alpine_region_live
 from firnline.operators.clusters import RiskModel
@@ -24,9 +25,15 @@ SCALE_STDS = [6.0, 5.0, 60.0, 11.0]
 AXES = [[0.5, 0.5, 0.5, 0.5], [0.5, -0.5, 0.5, -0.5]]
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the given tables; its schema is read from the files once per process."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return read_table(spark, folder, name)
+    rows = read_table(spark, folder, name, _SCHEMAS.get((folder, name)))
+    _SCHEMAS.setdefault((folder, name), rows.schema)
+    return rows
 
 
 def stations(spark: SparkSession, folder: str) -> DataFrame:

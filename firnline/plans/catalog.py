@@ -450,7 +450,8 @@ def moving_avg_global(spark, d):
 @query
 def moving_avg_station(spark, d):
     rows = daily_features(A.measurements(spark, d)).select("station_code", "measure_date", "air_temp_mean_stations")
-    rows = moving.moving_average(rows, ["air_temp_mean_stations"], 3, ["measure_date"], ["station_code"])
+    rows = moving.moving_average(rows, ["air_temp_mean_stations"], 3, ["measure_date"], ["station_code"],
+                                 F.year("measure_date"))
     return rounded(rows, "air_temp_mean_stations", "air_temp_mean_stations_avg")
 
 
@@ -478,8 +479,8 @@ def sorted_risk_groups(spark, d):
 
 @query
 def union_train_live(spark, d):
-    training = A.accidents(spark, d).select(*FEATURES).dropna()
-    today = _live(spark, d).select(*FEATURES).dropna()
+    training = filters.complete(A.accidents(spark, d)).select(*FEATURES)
+    today = filters.complete(_live(spark, d)).select(*FEATURES)
     return rounded(unions.union_tagged(training=training, live=today), *FEATURES)
 
 

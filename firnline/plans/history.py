@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firnline.functions.dates import midnight_stamp
 from firnline.functions.places import alpine_region_hist, elevation_group
 from firnline.operators.clusters import RiskModel
 from firnline.operators.filters import since, since_hyear
@@ -16,22 +17,23 @@ LATITUDE, LONGITUDE = "start_zone_coordinates_latitude", "start_zone_coordinates
 
 
 def clean_accidents(raw: DataFrame, after: str = "1991-12-31") -> DataFrame:
-    """The nine columns in use, later than a day, in order of date."""
-    return since(raw, "date", after).select(*ACCIDENT_COLUMNS).orderBy("date")
+    """The nine columns in use, later than a day, in order of date.
+
+    Rows of one day keep their order; as a second sort key it also lets a day with very
+    many rows spread over several tasks.
+    """
+    chosen = since(raw, "date", after).select(*ACCIDENT_COLUMNS, F.monotonically_increasing_id().alias("_at"))
+    return chosen.orderBy("date", "_at").drop("_at")
 
 
 def more_measurements(history: DataFrame, after: str = "2022-12-31") -> DataFrame:
     """History rows in the shape of live readings: constant number, midnight stamp."""
-    from firnline.functions.dates import midnight_stamp
-
     return since(history, "date", after).select(
         F.lit("001").alias("nr"), "station_code", midnight_stamp(F.col("measure_date")).alias("measure_date"), *MEASURES
     )
 
 
 def more_snow(history: DataFrame, after: str = "2022") -> DataFrame:
-    from firnline.functions.dates import midnight_stamp
-
     return since_hyear(history, after).select(
         F.lit("001").alias("nr"), "station_code", midnight_stamp(F.col("measure_date"), zulu=False).alias("measure_date"),
         "HS", "HN_1D",

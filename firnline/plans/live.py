@@ -10,6 +10,7 @@ from firnline.functions.dates import iso_day
 from firnline.operators.cleaning import iso_days, keep_first, project_measurements, project_snow
 from firnline.operators.clusters import RiskModel
 from firnline.operators.enrich import live_table
+from firnline.operators.filters import present
 from firnline.operators.rollup import daily_rollup
 from firnline.sources.readers import read_csv, read_json_array
 from firnline.sources.sinks import append_batch, with_sequence, write_result
@@ -28,7 +29,7 @@ def daily_features(readings: DataFrame) -> DataFrame:
 
     The median and the other means are never computed, and their columns never read.
     """
-    daily = readings.dropna(subset=["station_code", "date"]).groupBy("station_code", "date").agg(
+    daily = present(readings, ["station_code", "date"]).groupBy("station_code", "date").agg(
         F.avg("TA_30MIN_MEAN").alias("TA_30MIN_MEAN"), F.max("VW_30MIN_MAX").alias("VW_30MIN_MAX"),
         F.avg("TSS_30MIN_MEAN").alias("TSS_30MIN_MEAN"), F.avg("TS0_30MIN_MEAN").alias("TS0_30MIN_MEAN"),
     )
@@ -61,7 +62,8 @@ def ingest(spark: SparkSession, landed: str, table: str, schema, batch_no: int)
 def clean(spark: SparkSession, table: str, cleaned: str) -> None:
     """Stage 2: first arrival per (station, time), sorted inside each day's files."""
     rows = keep_first(spark.read.parquet(table), READING, ARRIVAL)
-    ordered = rows.repartition("date", "station_code").sortWithinPartitions("date", *READING)
+    # AQE gathers small days into one task and splits days that are too large for one
+    ordered = rows.hint("rebalance", "date").sortWithinPartitions("date", *READING)
     write_result(ordered, cleaned, ["date"])
 
 

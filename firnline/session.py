@@ -27,7 +27,8 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # call-site capture costs several round trips per expression while a plan is built
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)
@@ -68,13 +69,22 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Estimated size of everything a frame reads; for a join the sum, not the product."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # no JVM handle (remote session): size unknown
+        return None
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     size = estimated_bytes(df)
     return size is not None and size <= limit
 
 
 def is_large(df: DataFrame, limit: int = SPLIT_BYTES) -> bool:
-    size = estimated_bytes(df)
+    size = input_bytes(df)
     return size is None or size > limit
 
 

@@ -21,8 +21,10 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return clear_nan(spark.read.schema(schema).json(path, multiLine=True))
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """Parquet table; with a known schema no footers are read ahead of the query."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def trim_key(rows: DataFrame, key: str) -> DataFrame:

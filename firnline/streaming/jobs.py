@@ -53,7 +53,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _replace_partitions(rows: DataFrame, target: str, partition_by: list[str]) -> None:
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # AQE gathers small partitions into one task and splits those too large for one
+    writer = rows.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partition_by).parquet(target)
 
 
@@ -78,15 +79,11 @@ def dedupe_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[st
     spark = stream.sparkSession
 
     def change(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            fresh = keep_first(batch, keys, order)
-            if _exists(spark, target):
-                stored = spark.read.parquet(target).where(F.col(day).isin(_days(batch, day)) & (F.col("batch") != number))
-                fresh = fresh.join(stored.select(*keys), keys, "left_anti")
-            _replace_partitions(fresh.withColumn("batch", F.lit(number)), target, [day, "batch"])
-        finally:
-            batch.unpersist()
+        fresh = keep_first(batch, keys, order)
+        if _exists(spark, target):
+            stored = spark.read.parquet(target).where(F.col(day).isin(_days(batch, day)) & (F.col("batch") != number))
+            fresh = fresh.join(stored.select(*keys), keys, "left_anti")
+        _replace_partitions(fresh.withColumn("batch", F.lit(number)), target, [day, "batch"])
 
     each_batch(stream, change, checkpoint)
 
@@ -100,12 +97,8 @@ def daily_stream(stream: DataFrame, stored: str, target: str, checkpoint: str, d
     spark = stream.sparkSession
 
     def change(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            days = _days(batch, day)
-            _replace_partitions(batch.withColumn("batch", F.lit(number)), stored, [day, "batch"])
-        finally:
-            batch.unpersist()
+        days = _days(batch, day)
+        _replace_partitions(batch.withColumn("batch", F.lit(number)), stored, [day, "batch"])
         if days:
             touched = spark.read.parquet(stored).where(F.col(day).isin(days)).drop("batch")
             _replace_partitions(roll_up(touched), target, [day])
