@@ -238,6 +238,11 @@ FROM v_measurements""",
 r AS (SELECT row_id, k, row_number() OVER (PARTITION BY row_id ORDER BY
   (f1 - c1) * (f1 - c1) + (f2 - c2) * (f2 - c2) + (f3 - c3) * (f3 - c3) + (f4 - c4) * (f4 - c4), k) AS rn FROM v_training CROSS JOIN c)
 SELECT row_id, k AS k_cluster FROM r WHERE rn = 1""",
+    "inertia_fixed": """WITH c AS (SELECT label AS k, round(avg(f1), 6) AS c1, round(avg(f2), 6) AS c2, round(avg(f3), 6) AS c3,
+  round(avg(f4), 6) AS c4 FROM v_training GROUP BY label)
+SELECT round(sum(d), 8) AS inertia FROM (SELECT row_id, min(
+  (f1 - c1) * (f1 - c1) + (f2 - c2) * (f2 - c2) + (f3 - c3) * (f3 - c3) + (f4 - c4) * (f4 - c4)) AS d
+  FROM v_training CROSS JOIN c GROUP BY row_id) g""",
     "pca_apply": "WITH z AS (SELECT row_id, " + ", ".join(
         f"(f{i} - avg(f{i}) OVER ()) / stddev_pop(f{i}) OVER () AS z{i}" for i in range(1, 5)) + """ FROM v_training)
 SELECT row_id, round(0.5e0 * z1 + 0.5e0 * z2 + 0.5e0 * z3 + 0.5e0 * z4, 8) AS PCA1,

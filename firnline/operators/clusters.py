@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from firnline.operators.filters import present
-from firnline.operators.scaling import Scaler, dot, project
+from firnline.operators.scaling import Scaler, project
 from firnline.vocabulary import CLUSTER_CENTRES, FEATURES
 
 MAX_ITER = 300
@@ -24,6 +24,15 @@ SEEDS = (0, 1, 2)
 
 def nearest_centre(columns: list[str], centres: dict[int, list[float]]) -> Column:
     """Label of the nearest centre; ties go to the lower label. One expression, no join."""
+    return _nearest(columns, centres)["k"]
+
+
+def inertia(rows: DataFrame, columns: list[str], centres: dict[int, list[float]]) -> DataFrame:
+    """Sum of the squared distances to the nearest centre."""
+    return rows.agg(F.sum(_nearest(columns, centres)["d"]).alias("inertia"))
+
+
+def _nearest(columns: list[str], centres: dict[int, list[float]]) -> Column:
     gaps = []
     for label in sorted(centres):
         squares = F.lit(0.0)
@@ -31,7 +40,7 @@ def nearest_centre(columns: list[str], centres: dict[int, list[float]]) -> Colum
             gap = F.col(name) - F.lit(float(c))
             squares = squares + gap * gap
         gaps.append(F.struct(squares.alias("d"), F.lit(int(label)).alias("k")))
-    return F.array_min(F.array(*gaps))["k"]
+    return F.array_min(F.array(*gaps))
 
 
 def vectors(rows: DataFrame, columns: list[str]) -> DataFrame:

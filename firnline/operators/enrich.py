@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from firnline.functions.labels import cluster_character, cluster_colour, cluster_risk
 from firnline.functions.places import alpine_region_live, elevation_group, region_id
 from firnline.operators.filters import with_region
-from firnline.session import broadcast_if_small
+from firnline.session import broadcast_if_small, is_large
 
 KEYS = ["station_code", "measure_date"]
 
@@ -16,13 +16,20 @@ KEYS = ["station_code", "measure_date"]
 def outer_weather_snow(weather: DataFrame, snow: DataFrame, one_snow_row_per_day: bool = False) -> DataFrame:
     """Full outer join on (station, day).
 
-    Both inputs are aggregated or stored by that key, so no key holds more than a few
-    rows. Two snow readings on one day give two rows, unless the option is set.
+    ``weather`` holds one row per key. Two snow readings on one day give two rows, unless
+    the option is set. A full outer join cannot split a hot key, so on large inputs the
+    same rows come from the snow readings LEFT JOIN weather, which AQE can split, and
+    the weather rows without snow.
     """
     if one_snow_row_per_day:
         values = [c for c in snow.columns if c not in KEYS]
         snow = snow.groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in values])
-    return weather.join(snow, KEYS, "full_outer")
+    if not is_large(snow):
+        return weather.join(snow, KEYS, "full_outer")
+    values = [c for side in (weather, snow) for c in side.columns if c not in KEYS]
+    with_snow = snow.join(weather, KEYS, "left").select(*KEYS, *values)
+    without = weather.join(snow.select(*KEYS).distinct(), KEYS, "left_anti")
+    return with_snow.unionByName(without, allowMissingColumns=True)
 
 
 def with_stations(stations: DataFrame, measures: DataFrame, seen: DataFrame | None = None) -> DataFrame:

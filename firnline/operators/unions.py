@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from firnline.functions.labels import cluster_colour, live_label
 from firnline.vocabulary import CLUSTER_POSITIONS
 
-LAYER = ["layer", "PCA1", "PCA2", "k_cluster", "colour", "label"]
-
 
 def union_tagged(**parts: DataFrame) -> DataFrame:
     """Union of frames with a ``source`` column that names each; ``part_of`` takes them apart again."""

@@ -506,14 +506,14 @@ def midnight_stamp(spark, d):
 
 @query
 def parse_ts(spark, d):
-    return A.measurements(spark, d).select("nr", dates.parse_ts(F.substring("measure_date", 1, 19)).alias("t"))
+    return A.measurements(spark, d).select("nr", dates.parse_ts(F.substring("measure_date", 1, 19)).cast("timestamp_ntz").alias("t"))
 
 
 @query
 def parse_ts_lenient(spark, d):
     """Texts that are no timestamps (every value of HS that is missing) give NULL."""
     text = F.when(F.col("HS").isNotNull(), F.substring("measure_date", 1, 19)).otherwise("not a date")
-    return A.measurements(spark, d).select("nr", dates.parse_ts_lenient(text).alias("t"))
+    return A.measurements(spark, d).select("nr", dates.parse_ts_lenient(text).cast("timestamp_ntz").alias("t"))
 
 
 @query
@@ -624,6 +624,13 @@ def elbow(spark, d):
     return rounded(clusters.elbow(scaled, _Z), "inertia")
 
 
+@query
+def inertia_fixed(spark, d):
+    """Cost of the class means as centres: what the elbow sweep reports for fitted ones."""
+    rows = A.training(spark, d)
+    return rounded(clusters.inertia(rows, _F, _label_centres(rows)), "inertia")
+
+
 @query
 def centres_original(spark, d):
     """Class centres in z-scores, taken back to original units."""

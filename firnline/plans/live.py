@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline import schemas
 from firnline.functions.dates import iso_day
 from firnline.operators.cleaning import iso_days, keep_first, project_measurements, project_snow
 from firnline.operators.clusters import RiskModel
 from firnline.operators.enrich import live_table
 from firnline.operators.filters import present
 from firnline.operators.rollup import daily_rollup
-from firnline.sources.readers import read_csv, read_json_array
+from firnline.sources.loaders import load_stations
+from firnline.sources.readers import read_json_array
 from firnline.sources.sinks import append_batch, with_sequence, write_result
 
 ARRIVAL = ["batch", "file", "nr"]
@@ -74,7 +74,7 @@ def roll_up(spark: SparkSession, cleaned: str, daily: str) -> None:
 
 def build_live(spark: SparkSession, stations_csv: str, daily: str, snow: str, target: str) -> None:
     """Stage 4."""
-    stations = read_csv(spark, stations_csv, schemas.STATIONS, sep=";")
+    stations = load_stations(spark, stations_csv)
     weather = project_measurements(iso_days(spark.read.parquet(daily)))
     readings = project_snow(iso_days(spark.read.parquet(snow)))
     write_result(live_table(stations, weather, readings), target)

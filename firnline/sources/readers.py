@@ -11,8 +11,11 @@ from firnline.functions.numbers import nan_to_null
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", quote: str = '"') -> DataFrame:
-    """CSV with a header and a fixed schema; NaN becomes NULL."""
-    rows = spark.read.schema(schema).csv(path, sep=sep, header=True, quote=quote, enforceSchema=True)
+    """CSV with a header and a fixed schema; NaN becomes NULL.
+
+    The header must name the columns of the schema in order; other files are an error.
+    """
+    rows = spark.read.schema(schema).csv(path, sep=sep, header=True, quote=quote, enforceSchema=False)
     return clear_nan(rows)
 
 

@@ -45,8 +45,11 @@ def rewrite_table(spark: SparkSession, path: str, change, partition_by: list[str
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not (fs.rename(hadoop(path), hadoop(old)) and fs.rename(hadoop(staged), hadoop(path))):
-        raise IOError(f"could not swap {staged} into {path}")
+    if not fs.rename(hadoop(path), hadoop(old)):
+        raise IOError(f"could not move {path} aside")
+    if not fs.rename(hadoop(staged), hadoop(path)):
+        fs.rename(hadoop(old), hadoop(path))
+        raise IOError(f"could not put {staged} in place of {path}")
     return old
 
 

@@ -93,10 +93,9 @@ PANEL_MEASURES = {
     "new_snow": "new_snow_mean_stations",
 }
 
-# Month slider of a winter season, October to April.
+# Choices of the panels. Month slider of a winter season, October to April.
 SEASON_MONTHS = [10, 11, 12, 1, 2, 3, 4]
 WINTER_MONTHS = [11, 12, 1, 2, 3, 4]
-MOVING_WINDOWS = [3, 5, 7, 9, 11, 13, 15, 17, 19, 21]
 TREND_DAYS = 28
 
 EARTH_RADIUS_KM = 6373.0

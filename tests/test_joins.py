@@ -32,6 +32,16 @@ def test_outer_join_keeps_both_sides_and_double_readings(spark):
     assert single.count() == 5
 
 
+def test_large_outer_join_equals_the_plain_one(spark, monkeypatch):
+    weather = _weather(spark).union(spark.createDataFrame([(None, D1, 1.0, 2.0)], W))
+    snow = _snow(spark).union(spark.createDataFrame([(None, D1, 9.0, 9.0), ("S", D2, 9.0, None)], S))
+    order = ["station_code", "measure_date", "snow_height_mean_stations"]
+    plain = enrich.outer_weather_snow(weather, snow)
+    monkeypatch.setattr(enrich, "is_large", lambda df: True)
+    split = enrich.outer_weather_snow(weather, snow)
+    assert split.columns == plain.columns and rows(split, *order) == rows(plain, *order)
+
+
 def test_live_table_keeps_silent_stations_and_drops_rows_without_region(spark):
     live = enrich.live_table(_stations(spark), _weather(spark), _snow(spark))
     got = rows(live.select("code", "station_code", "measure_date", "alpine_region", "region_id", "elevation_group"), "code", "measure_date")

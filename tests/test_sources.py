@@ -4,7 +4,7 @@ import pytest
 
 from firnline import schemas
 from firnline.session import shared_folder
-from firnline.sources import readers, sinks
+from firnline.sources import loaders, readers, sinks
 from tests.conftest import rows
 
 
@@ -84,6 +84,28 @@ def test_shared_folder_follows_the_session(spark, monkeypatch):
         shared_folder(Cluster(), "x")
 
 
+@pytest.mark.parametrize("load,schema,sep", [
+    (loaders.load_raw_accidents, schemas.ACCIDENTS_RAW, ";"), (loaders.load_weather_history, schemas.HISTORY_WEATHER, ";"),
+    (loaders.load_snow_history, schemas.HISTORY_SNOW, ";"), (loaders.load_measurements, schemas.MEASUREMENTS, ";"),
+    (loaders.load_daily_measurements, schemas.MEASUREMENTS_DAILY, ";"), (loaders.load_snow, schemas.SNOW, ";"),
+    (loaders.load_live, schemas.LIVE, ";"), (loaders.load_accidents, schemas.ACCIDENTS, ","),
+    (loaders.load_clustered_training, schemas.TRAINING_CLUSTERED, ","), (loaders.load_pca_training, schemas.PCA_TRAINING, ","),
+    (loaders.load_pca_live, schemas.PCA_LIVE, ","), (loaders.load_cluster_means, schemas.CLUSTER_MEANS, ","),
+])
+def test_loaders(spark, tmp_path, load, schema, sep):
+    sample = {"string": "x", "double": "1.5", "int": "7", "bigint": "7", "date": "2024-01-05"}
+    line = sep.join(sample[f.dataType.simpleString()] for f in schema.fields)
+    (tmp_path / "a.csv").write_text(sep.join(schema.fieldNames()) + "\n" + line + "\n")
+    got = load(spark, str(tmp_path / "a.csv"))
+    assert got.schema == schema and all(v is not None for v in got.first())
+
+
+def test_files_with_other_columns_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("PCA1,k_cluster,PCA2\n1.0,2,3.0\n")
+    with pytest.raises(Exception):
+        loaders.load_cluster_means(spark, str(tmp_path / "a.csv")).collect()
+
+
 def test_schemas_list_every_measure():
     assert schemas.MEASUREMENTS.fieldNames() == ["nr", "station_code", "measure_date", *schemas.MEASURES]
     assert len(schemas.MEASURES) == 13
