@@ -251,8 +251,9 @@ SELECT row_id, round(0.5e0 * z1 + 0.5e0 * z2 + 0.5e0 * z3 + 0.5e0 * z4, 8) AS PC
     "cluster_profile": "SELECT label, " + ", ".join(f"round(avg(f{i}), 8) AS f{i}" for i in range(1, 5))
     + ", count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (), 8) AS percentage FROM v_training GROUP BY label",
     "station_options": f"SELECT {LABEL} AS label, code AS value FROM v_stations WHERE canton_code IN ('FL', 'GL', 'GR', 'SG')",
-    "canton_options": """SELECT 'All Cantons' AS label, 'None' AS value
-UNION ALL SELECT DISTINCT canton_code, canton_code FROM v_stations WHERE canton_code IN ('FL', 'GL', 'GR', 'SG')""",
+    "canton_options": """SELECT 'All Cantons' AS label, 'None' AS value, count(*) AS stations FROM v_stations
+UNION ALL SELECT c, c, count(s.code) FROM (VALUES ('FL'), ('GL'), ('GR'), ('SG')) l(c)
+LEFT JOIN v_stations s ON s.canton_code = l.c GROUP BY c""",
     "station_overview": f"""SELECT code, round(lat, 8) AS lat, round(lon, 8) AS lon, {LABEL} AS label,
  concat('https://stationdocu.slf.ch/pdf/IMIS_', code, '_DE.pdf') AS url FROM v_stations""",
     "weather_trend": f"""SELECT measure_date, {', '.join(f'round(avg({f}), 8) AS {f}' for f in FEATURES)} FROM v_live

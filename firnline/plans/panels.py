@@ -28,11 +28,18 @@ def station_options(stations: DataFrame, region: str | None = None, canton: str
 
 
 def canton_options(stations: DataFrame, region: str | None) -> DataFrame:
-    """Cantons of a region that have stations, below the entry for all of them."""
+    """Every canton of a region below the entry for all of them, with the number of its stations.
+
+    The cantons come from the fixed list, so one without stations is offered too.
+    """
     listed = PANEL_REGIONS.get(region, []) if region else []
-    found = stations.where(F.col("canton_code").isin(listed)).select(F.col("canton_code").alias("value")).distinct()
-    every = stations.agg(F.lit(ALL_CANTONS).alias("value")).select(F.lit("All Cantons").alias("label"), "value")
-    return every.unionByName(found.select(F.col("value").alias("label"), "value"))
+    canton = F.col("canton_code")
+    counted = stations.agg(F.count("*").alias("every"), *[F.count_if(canton == c).alias(c) for c in listed])
+    entries = [("All Cantons", ALL_CANTONS, "every"), *[(c, c, c) for c in listed]]
+    return counted.select(F.inline(F.array(*[
+        F.struct(F.lit(label).alias("label"), F.lit(value).alias("value"), F.col(n).alias("stations"))
+        for label, value, n in entries
+    ])))
 
 
 def station_overview(stations: DataFrame, region: str | None = None, canton: str | None = None,

@@ -78,3 +78,25 @@ def test_future_months_are_empty_and_a_canton_groups_by_station(spark):
     assert panels.risk_matrix(scored, 2030, 3).isEmpty()
     assert panels.risk_matrix(scored, 2023, 3, canton="GR").columns[0] == "station_code"
     assert panels.risk_matrix(scored, 2023, 3, canton="None").columns[0] == "canton_code"
+
+
+def test_canton_options_offer_every_listed_canton(spark):
+    stations = spark.createDataFrame([("A", "GR"), ("B", "ZH"), ("C", "GR")], "code STRING, canton_code STRING")
+    got = rows(panels.canton_options(stations, "Eastern Alps"))
+    assert got == [("All Cantons", "None", 3), ("FL", "FL", 0), ("GL", "GL", 0), ("GR", "GR", 2), ("SG", "SG", 0)]
+    assert rows(panels.canton_options(stations, None)) == [("All Cantons", "None", 3)]
+    assert panels.canton_options(stations, "Entire Alpine Region").count() == 13
+
+
+def test_panel_points_and_trends(spark):
+    live = spark.createDataFrame([
+        ("A", "A", 46.0, 9.0, "GR", dt.date(2024, 1, d), float(d), None) for d in range(1, 5)
+    ] + [("B", "B", 46.5, 8.0, "ZH", dt.date(2024, 1, 4), 10.0, 2.0), ("Q", None, 47.0, 8.0, "GR", None, None, None)],
+        "code STRING, station_code STRING, lat DOUBLE, lon DOUBLE, canton_code STRING, measure_date DATE, "
+        "air_temp_mean_stations DOUBLE, wind_speed_max_stations DOUBLE")
+    assert rows(panels.latest_map(live, "temperature"), "code") == [("A", 46.0, 9.0, 4.0), ("B", 46.5, 8.0, 10.0)]
+    overall = rows(panels.trend(live, "temperature", window=3), "measure_date")
+    assert [r[1:] for r in overall] == [(1.0, None), (2.0, None), (3.0, 2.0), (7.0, 4.0)]
+    chosen = rows(panels.trend(live, "temperature", window=3, codes=["A"]), "measure_date")
+    assert [r[2:] for r in chosen] == [(1.0, None), (2.0, None), (3.0, 2.0), (4.0, 3.0)]
+    assert rows(panels.default_range(live)) == [(dt.date(2024, 1, 1), dt.date(2023, 12, 7), dt.date(2024, 1, 4))]
