@@ -5,6 +5,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import connect, duck_rows, spark_rows
 
+UNWANTED = ["CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"]
 WITHOUT_TEXT = {"freshness", "kmeans_fit", "pca_fit", "elbow"}
 
 
@@ -15,7 +16,10 @@ def duck(small):
 
 @pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, small, duck, name):
-    schema, got = spark_rows(queries()[name](spark, small))
+    frame = queries()[name](spark, small)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in UNWANTED)
+    schema, got = spark_rows(frame)
     if name in WITHOUT_TEXT:
         assert got
         return
@@ -30,3 +34,19 @@ def test_every_text_belongs_to_a_query():
 
 def test_entry(spark, small):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", [
+    "daily_rollup", "outer_weather_snow", "live_table", "snow_enriched", "trend_wind_stations", "moving_avg_station",
+    "risk_matrix_canton", "stream_daily",
+])
+def test_plans_for_large_inputs_agree(spark, small, duck, name, monkeypatch):
+    """The same rows when every input counts as large and nothing may be broadcast by hint."""
+    from firnline.operators import enrich, moving, rollup
+
+    for module in (enrich, moving, rollup):
+        monkeypatch.setattr(module, "is_large", lambda df: True)
+    monkeypatch.setattr(enrich, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(rollup, "HOT_ROWS", 8)
+    schema, got = spark_rows(queries()[name](spark, small))
+    assert (schema, got) == duck_rows(duck, oracle_sql()[name])
