@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +37,10 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's checkpoint folder.
 
-    A machine-local folder is taken only when the setting is absent and Spark
-    itself runs on this one machine.
+    Without that setting (as in tests) it lies beside the managed tables, on the file
+    system that Spark itself uses for them.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="firnline-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
