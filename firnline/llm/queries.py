@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import mixing
+from firnline.llm import line_rules, mixing
 from firnline.llm.texts import table
 
 
@@ -12,10 +12,16 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents")).drop("text")
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_line_rules": op2_line_rules,
 }
 
 ORACLE = {
     "op1_pareto_mix": mixing.oracle(),
+    "op2_line_rules": line_rules.oracle(),
 }
