@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import line_rules, mixing
+from firnline.llm import blob_ledger, line_rules, mixing
 from firnline.llm.texts import table
 
 
@@ -16,12 +16,18 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blob_ledger.counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_rules": op2_line_rules,
+    "op4_blob_ledger": op4_blob_ledger,
 }
 
 ORACLE = {
     "op1_pareto_mix": mixing.oracle(),
     "op2_line_rules": line_rules.oracle(),
+    "op4_blob_ledger": blob_ledger.oracle(),
 }
