@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from firnline.llm import blob_ledger, line_rules, mixing
+from firnline.llm import blob_ledger, bpe_prefix, line_rules, mixing
 from firnline.llm.texts import table
 
 
@@ -20,10 +22,23 @@ def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.counts(table(spark, sf_dir, "documents"))
 
 
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what bpe_prefix.decode returns."""
+    return encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    return digests(bpe_prefix.decode(bpe_prefix.encode(docs, path, public_tokenizers.PATTERN), path))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_rules": op2_line_rules,
     "op4_blob_ledger": op4_blob_ledger,
+    "op5_prefix_bpe": op5_prefix_bpe,
 }
 
 ORACLE = {
