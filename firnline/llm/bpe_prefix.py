@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from firnline.llm.texts import ship
+
 NONE = 1 << 62
 
 
@@ -182,6 +184,7 @@ def _cache(raw: bytes) -> PieceCache:
 
 
 def _vocabulary(docs: DataFrame, path: str):
+    ship(docs.sparkSession)
     with open(path, "rb") as f:  # a fixed file of about a megabyte
         return docs.sparkSession.sparkContext.broadcast(f.read())
 

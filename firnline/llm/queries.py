@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import blob_ledger, bpe_prefix, line_rules, mixing
+from firnline.llm import bit_packing, blob_ledger, bpe_prefix, line_rules, mixing
 from firnline.llm.texts import table
 
 
@@ -34,11 +34,16 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_prefix.decode(bpe_prefix.encode(docs, path, public_tokenizers.PATTERN), path))
 
 
+def op8_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_rules": op2_line_rules,
     "op4_blob_ledger": op4_blob_ledger,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op8_bit_packing": op8_bit_packing,
 }
 
 ORACLE = {

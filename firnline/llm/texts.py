@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import os
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnline.session import shared_folder
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,3 +85,31 @@ def chunks(items: Iterable, size: int) -> Iterator[list]:
             held = []
     if held:
         yield held
+
+
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path in it, for a URI or an absolute path."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run; done once for a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_firnline_shipped", False):
+        return
+    top, raw = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    target = f"{shared_folder(spark, 'package')}/firnline.zip"
+    fs, inner = filesystem(target)
+    fs.create_dir(os.path.dirname(inner), recursive=True)
+    with fs.open_output_stream(inner) as out:
+        out.write(raw.getvalue())
+    context.addPyFile(target)
+    context._firnline_shipped = True
