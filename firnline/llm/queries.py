@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import bit_packing, blob_ledger, bpe_prefix, line_rules, mixing
+from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, line_rules, mixing
 from firnline.llm.texts import table
 
 
@@ -38,16 +38,23 @@ def op8_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return bit_sliced.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_rules": op2_line_rules,
     "op4_blob_ledger": op4_blob_ledger,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op8_bit_packing": op8_bit_packing,
+    "op10_bit_sliced_top_k": op10_bit_sliced_top_k,
 }
 
 ORACLE = {
     "op1_pareto_mix": mixing.oracle(),
     "op2_line_rules": line_rules.oracle(),
     "op4_blob_ledger": blob_ledger.oracle(),
+    "op10_bit_sliced_top_k": bit_sliced.oracle(),
 }
