@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, line_rules, mixing
+from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, circulant, line_rules, mixing
 from firnline.llm.texts import table
 
 
@@ -34,6 +34,10 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_prefix.decode(bpe_prefix.encode(docs, path, public_tokenizers.PATTERN), path))
 
 
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_line_rules": op2_line_rules,
     "op4_blob_ledger": op4_blob_ledger,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op7_circulant_minhash": op7_circulant_minhash,
     "op8_bit_packing": op8_bit_packing,
     "op10_bit_sliced_top_k": op10_bit_sliced_top_k,
 }
