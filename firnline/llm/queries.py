@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, circulant, line_rules, mixing
+from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, circulant, line_rules, mixing, suffix_dedup
 from firnline.llm.texts import table
 
 
@@ -18,6 +18,12 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_removed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.counts(table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,7 @@ def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_rules": op2_line_rules,
+    "op3_suffix_array": op3_suffix_array,
     "op4_blob_ledger": op4_blob_ledger,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op7_circulant_minhash": op7_circulant_minhash,
