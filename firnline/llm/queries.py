@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, circulant, line_rules, mixing, suffix_dedup
+from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, circulant, line_rules, mixing, suffix_dedup, wrappers
 from firnline.llm.texts import table
 
 
@@ -48,6 +48,10 @@ def op8_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return bit_sliced.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_prefix_bpe": op5_prefix_bpe,
     "op7_circulant_minhash": op7_circulant_minhash,
     "op8_bit_packing": op8_bit_packing,
+    "op9_wrappers": op9_wrappers,
     "op10_bit_sliced_top_k": op10_bit_sliced_top_k,
 }
 
