@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, circulant, line_rules, mixing, suffix_dedup, wrappers
+from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, circulant, cross_entropy, line_rules, mixing, suffix_dedup, wrappers
 from firnline.llm.texts import table
 
 
@@ -40,6 +40,11 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_prefix.decode(bpe_prefix.encode(docs, path, public_tokenizers.PATTERN), path))
 
 
+def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return cross_entropy.score(table(spark, sf_dir, "documents"), good.select("doc_id"))
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_groups(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op3_suffix_array": op3_suffix_array,
     "op4_blob_ledger": op4_blob_ledger,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op6_cross_entropy": op6_cross_entropy,
     "op7_circulant_minhash": op7_circulant_minhash,
     "op8_bit_packing": op8_bit_packing,
     "op9_wrappers": op9_wrappers,
