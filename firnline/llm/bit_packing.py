@@ -13,6 +13,8 @@ and lost tasks do no harm. Encoding happens while a shard is written, holding on
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -25,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from firnline.llm.texts import filesystem, ship
+from firnline.llm.texts import Recent, filesystem, ship
 from firnline.session import shared_folder, stored
 
 MAGIC, VERSION = b"FXBP", 1
 FOOTER = struct.Struct("<4sHHIQQQ")
 BLOCK_IDS = 1 << 16
 #: Texts encoded at once, in characters.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -126,31 +128,59 @@ class ShardReader:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-class ChunkCache(dict):
-    """Ids by chunk of text between blanks, tabs and line ends, which the tokenizer drops, so that chunks are encoded alone."""
+#: Characters whose case and class need no tables: ASCII and the letters of Latin-1.
+UNSAFE = re.compile(r"[^\x00-\x7f\xc0-\xff]|<\|")
+#: The tokenizer's pieces of lower-cased text made of such characters.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9\xdf-\xf6\xf8-\xff]+")
+PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
 
-    MOST, LONGEST = 1 << 18, 64
+
+class PieceIds(Recent):
+    """Encodes texts by their pieces, which the tokenizer treats apart.
+
+    Texts of plain characters are cut into the tokenizer's own pieces. Others are cut at plain white space, which
+    the tokenizer drops, and parts with other characters (or signs of special tokens) are given to it as they are.
+    """
 
     def __init__(self, tokenizer):
-        super().__init__()
+        super().__init__(1 << 18)
         self.tokenizer = tokenizer
 
+    def pieces(self, text: str) -> list[str]:
+        if not UNSAFE.search(text):
+            return PIECE.findall(text.lower())
+        out = []
+        for part in PLAIN_SPACE.split(text):
+            if UNSAFE.search(part):
+                out.append(part)
+            else:
+                out.extend(PIECE.findall(part.lower()))
+        return out
+
+    def make(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def worth(self, piece: str) -> bool:
+        return len(piece) <= 64
+
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [[c for c in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c] for t in texts]
-        new = list({c for p in parts for c in p if c not in self})
-        if len(self) + len(new) > self.MOST:
-            self.clear()
-            new = list({c for p in parts for c in p})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join([self[c] for c in p]), "<u4") for p in parts]
-        for c in new:
-            if len(c) > self.LONGEST:
-                del self[c]
+        parts = [self.pieces(t) for t in texts]
+        new = list({p for part in parts for p in part if p not in self and p not in self.older})
+        own = {}
+        for begin in range(0, len(new), 4096):
+            some = new[begin:begin + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                own[p] = np.array(e.ids, "<u4").tobytes()
+        out = []
+        for part in parts:
+            out.append(np.frombuffer(b"".join([own[p] if p in own else self[p] for p in part]), "<u4"))
+        for p, ids in own.items():
+            if self.worth(p):
+                self.keep(p, ids)
         return out
 
 
-_READY: dict[int, ChunkCache] = {}
+_READY: dict[int, PieceIds] = {}
 
 
 def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shards: int | None = None) -> DataFrame:
@@ -167,9 +197,10 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shards: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         key = hash(raw.value)
         if key not in _READY:
-            _READY[key] = ChunkCache(Tokenizer.from_buffer(raw.value))
+            _READY[key] = PieceIds(Tokenizer.from_buffer(raw.value))
         cache = _READY[key]
         bits = bits_for(cache.tokenizer.get_vocab_size())
         fs, base = filesystem(folder)

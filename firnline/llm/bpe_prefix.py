@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from firnline.llm.texts import ship
+from firnline.llm.texts import Recent, ship
 
 NONE = 1 << 62
 
@@ -149,22 +149,18 @@ class Prefixes:
         return out[::-1]
 
 
-class PieceCache(dict):
-    """Ids (as little-endian 32-bit integers) by piece; emptied when it is full."""
-
-    MOST, LONGEST = 1 << 18, 64
+class PieceCache(Recent):
+    """Ids (as little-endian 32-bit integers) of recent pieces."""
 
     def __init__(self, bpe: PrefixBpe):
-        super().__init__()
+        super().__init__(1 << 18)
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode(piece.encode()), "<u4").tobytes()
-        if len(piece) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def make(self, piece: str) -> bytes:
+        return np.array(self.bpe.encode(piece.encode()), "<u4").tobytes()
+
+    def worth(self, piece: str) -> bool:
+        return len(piece) <= 64
 
 
 def spaces_by_property(pattern: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import os
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,15 +76,33 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return v
 
 
-def chunks(items: Iterable, size: int) -> Iterator[list]:
-    held = []
-    for item in items:
-        held.append(item)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+class Recent(dict):
+    """A bounded memory of values by key: when it is full, what was not used since it was last full is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if not self.worth(key):
+                return value
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+    def make(self, key):
+        raise KeyError(key)
+
+    def worth(self, key) -> bool:
+        return True
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
