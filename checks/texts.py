@@ -50,7 +50,8 @@ def heatmap(column: str, width: int | None) -> str:
 
 def by_region(extra: str = "") -> str:
     columns = ", ".join(f"count(CASE WHEN k_cluster = {k} THEN 1 END) AS c{k}" for k in range(5))
-    return f"SELECT alpine_region, CAST(year(date) AS INT) AS year, {columns} FROM v_accidents {extra} GROUP BY 1, 2"
+    return (f"SELECT alpine_region, CAST(year(date) AS INT) AS year, {columns}, count(CASE WHEN k_cluster NOT BETWEEN 0 AND 4 THEN 1 END) AS other"
+            f" FROM (SELECT * FROM v_accidents WHERE k_cluster IS NOT NULL) a1 {extra} GROUP BY 1, 2")
 
 
 ROLLUP = f"""SELECT date, station_code, min(measure_date) AS measure_date, round(median(HS), 8) AS HS,

@@ -90,12 +90,13 @@ SELECT event_id AS nr, concat('S', CAST(user_id AS VARCHAR)) AS station_code,
   CASE WHEN event_type IN ('click', 'view', 'error') THEN value * 0.0517394820167e0 END AS VW_30MIN_MEAN,
   CASE WHEN event_type IN ('click', 'view', 'error') THEN value * 0.1013729104733e0 END AS VW_30MIN_MAX,
   CAST(event_id % 360 AS DOUBLE) AS DW_30MIN_MEAN, CAST(event_id % 45 AS DOUBLE) AS DW_30MIN_SD
-FROM events WHERE user_id % 11 <> 3""",
+FROM events""",
     "v_snow": f"""
 SELECT *, {HYEAR} FROM (
-  SELECT concat('S', CAST(user_id AS VARCHAR)) AS station_code, CAST(ts AS DATE) AS measure_date,
-    max(value) * 1.0173926451733e0 AS HS, min(value) * 0.0983174629151e0 AS HN_1D
-  FROM events WHERE event_type IN ('purchase', 'signup', 'click') GROUP BY user_id, CAST(ts AS DATE)) w0""",
+  SELECT concat('S', CAST(user_id + 1 AS VARCHAR)) AS station_code, CAST(ts AS DATE) AS measure_date,
+    max(value) FILTER (event_type IN ('purchase', 'signup', 'click')) * 1.0173926451733e0 AS HS,
+    min(value) FILTER (event_type IN ('purchase', 'signup', 'click')) * 0.0983174629151e0 AS HN_1D
+  FROM events GROUP BY user_id, CAST(ts AS DATE)) w0""",
     "v_accidents": f"""
 SELECT *, {region_case('canton', False)} AS alpine_region FROM (
   SELECT o_orderkey AS acc_id, CAST(o_orderdate AS DATE) AS date,
@@ -119,9 +120,9 @@ FROM lineitem""",
     "v_hist_snow": f"""
 SELECT *, {HYEAR} FROM (SELECT {_PLACE}, l_discount * 1000e0 AS snow_height_cm,
   CASE WHEN l_returnflag <> 'A' THEN l_tax * 100e0 END AS new_snow_cm FROM lineitem) h0""",
-    "v_training": """
-SELECT vec_id AS row_id, label, CAST(embedding[1] AS DOUBLE) AS f1, CAST(embedding[2] AS DOUBLE) AS f2,
-  CAST(embedding[3] AS DOUBLE) AS f3, CAST(embedding[4] AS DOUBLE) AS f4 FROM embeddings""",
+    "v_training": "SELECT vec_id AS row_id, label, "
+    + ", ".join(f"list_reduce([0e0] || list_transform(list_filter(embedding, lambda x, i: i % 4 = {(i + 1) % 4}), lambda x: CAST(x AS DOUBLE)), lambda a, x: a + x) AS f{i + 1}" for i in range(4))
+    + " FROM embeddings",
     "v_daily": """
 SELECT station_code, date AS measure_date, avg(TA_30MIN_MEAN) AS air_temp_mean_stations,
   max(VW_30MIN_MAX) AS wind_speed_max_stations, avg(TSS_30MIN_MEAN) AS snow_surf_temp_mean_stations,

@@ -100,8 +100,11 @@ def elbow(rows: DataFrame, columns: list[str], ks: range = range(1, 11)) -> Data
     """Cost of the best fit per k; the vectors are cached once for all fits."""
     points = vectors(rows.select(*columns), columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = _fits(points, [(k, SEEDS[0]) for k in ks if k > 1])
-        costs = [(m.getK(), float(m.summary.trainingCost)) for m in models]
+        models = _fits(points, [(k, seed) for k in ks if k > 1 for seed in SEEDS])
+        best: dict[int, float] = {}
+        for m in models:
+            best[m.getK()] = min(best.get(m.getK(), float("inf")), float(m.summary.trainingCost))
+        costs = list(best.items())
         if 1 in ks:  # closed form: squared distances from the mean
             wide = rows.agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in columns]).first()
             costs.append((1, float(wide["n"] * sum(wide[c] or 0.0 for c in columns))))

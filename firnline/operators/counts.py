@@ -11,15 +11,18 @@ from firnline.operators.filters import present
 from firnline.vocabulary import HEATMAP_FEATURES, WINTER_MONTHS
 
 
-def spread_counts(rows: DataFrame, keys: list[str], column: Column, values: list[int], prefix: str) -> DataFrame:
-    """Count per key and value, one output column per value, 0 where there is none.
+def spread_counts(
+    rows: DataFrame, keys: list[str], column: Column, values: list[int], prefix: str, other: str | None = None,
+) -> DataFrame:
+    """Count per key and value, one output column per value, 0 where there is none; other names a column for all further values.
 
     The values are known, so one aggregation with conditional counts does the work of
     group, pivot and fill.
     """
     width = len(str(max(values)))
     return present(rows, keys).groupBy(*keys).agg(
-        *[F.count_if(column == v).alias(f"{prefix}{v:0{width}d}") for v in values]
+        *[F.count_if(column == v).alias(f"{prefix}{v:0{width}d}") for v in values],
+        *([F.count_if(~column.isin(values)).alias(other)] if other else []),
     )
 
 
@@ -32,9 +35,9 @@ def accident_heatmap(accidents: DataFrame, year: int, feature: str) -> DataFrame
 
 
 def accidents_by_region(accidents: DataFrame, clusters: int = 5) -> DataFrame:
-    """Accidents per (region, year), one column per cluster."""
-    rows = accidents.select("alpine_region", F.year("date").alias("year"), "k_cluster")
-    return spread_counts(rows, ["alpine_region", "year"], F.col("k_cluster"), list(range(clusters)), "c")
+    """Accidents per (region, year), one column per cluster and one for any further label; unlabelled accidents do not count."""
+    rows = present(accidents, ["k_cluster"]).select("alpine_region", F.year("date").alias("year"), "k_cluster")
+    return spread_counts(rows, ["alpine_region", "year"], F.col("k_cluster"), list(range(clusters)), "c", "other")
 
 
 def max_yearly_accidents(accidents: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ MEASUREMENT_COLUMNS = [
 
 def as_measurements(events: DataFrame) -> DataFrame:
     """Works on a table and on a stream."""
-    return events.where("user_id % 11 <> 3").selectExpr(*MEASUREMENT_COLUMNS)
+    return events.selectExpr(*MEASUREMENT_COLUMNS)
 
 
 def measurements(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,8 +77,10 @@ def measurements(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snow(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events").where("event_type IN ('purchase', 'signup', 'click')")
-    rows = rows.selectExpr("concat('S', CAST(user_id AS STRING)) AS station_code", "CAST(ts AS DATE) AS measure_date", "value")
+    """Every event is a snow reading, some without a value; stations are those of the next user, so either side has unmatched ones."""
+    rows = table(spark, folder, "events").selectExpr(
+        "concat('S', CAST(user_id + 1 AS STRING)) AS station_code", "CAST(ts AS DATE) AS measure_date",
+        "CASE WHEN event_type IN ('purchase', 'signup', 'click') THEN value END AS value")
     daily = rows.groupBy("station_code", "measure_date").agg((F.max("value") * 1.0173926451733).alias("HS"), (F.min("value") * 0.0983174629151).alias("HN_1D"))
     return daily.selectExpr("*", _HYEAR)
 
@@ -159,9 +161,9 @@ TRAINING_FEATURES = ["f1", "f2", "f3", "f4"]
 
 
 def training(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").selectExpr(
-        "vec_id AS row_id", "label", *[f"CAST(embedding[{i}] AS DOUBLE) AS f{i + 1}" for i in range(4)]
-    )
+    """Four features from the whole vector: sums of every fourth component."""
+    part = "aggregate(filter(embedding, (x, i) -> i % 4 = {0}), 0D, (a, x) -> a + CAST(x AS DOUBLE)) AS f{1}"
+    return table(spark, folder, "embeddings").selectExpr("vec_id AS row_id", "label", *[part.format(i, i + 1) for i in range(4)])
 
 
 def fixed_model() -> RiskModel:

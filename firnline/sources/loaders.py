@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from firnline import schemas
-from firnline.sources.readers import read_csv, trim_key
+from firnline.sources.readers import read_csv, read_csv_named, trim_key
+
+#: Other names of the two components in files of earlier runs.
+COMPONENT_NAMES = {"PC1": "PCA1", "PC2": "PCA2"}
 
 
 def load_stations(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +53,8 @@ def load_clustered_training(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_pca_training(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.PCA_TRAINING)
+    """All features, or just the two components and the cluster; components may be called PC1 and PC2."""
+    return read_csv_named(spark, path, schemas.PCA_TRAINING, COMPONENT_NAMES)
 
 
 def load_pca_live(spark: SparkSession, path: str) -> DataFrame:
@@ -63,4 +67,5 @@ def load_cluster_centres(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_cluster_means(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.CLUSTER_MEANS)
+    """Components may be called PC1 and PC2."""
+    return read_csv_named(spark, path, schemas.CLUSTER_MEANS, COMPONENT_NAMES)

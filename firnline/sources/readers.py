@@ -19,6 +19,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
     return clear_nan(rows)
 
 
+def read_csv_named(spark: SparkSession, path: str, schema: T.StructType, names: dict[str, str]) -> DataFrame:
+    """CSV whose header may use other names (names: theirs to ours) and may lack columns, which are left out."""
+    header = {names.get(c, c): c for c in spark.read.csv(path, header=True).columns}
+    ours = [f for f in schema if f.name in header]
+    asked = T.StructType([T.StructField(header[f.name], f.dataType) for f in ours])
+    return read_csv(spark, path, asked).toDF(*[f.name for f in ours])
+
+
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Landed files that each hold one array of records."""
     return clear_nan(spark.read.schema(schema).json(path, multiLine=True))

@@ -8,6 +8,8 @@ repeated after a failure rewrites its own output and adds nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,8 +83,12 @@ def dedupe_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[st
     def change(batch: DataFrame, number: int) -> None:
         fresh = keep_first(batch, keys, order)
         if _exists(spark, target):
-            stored = spark.read.parquet(target).where(F.col(day).isin(_days(batch, day)) & (F.col("batch") != number))
-            fresh = fresh.join(stored.select(*keys), keys, "left_anti")
+            days = _days(batch, day)
+            touched = F.col(day).isin([d for d in days if d is not None])
+            touched = F.coalesce(touched, F.lit(False)) | F.col(day).isNull() if None in days else touched
+            stored = spark.read.parquet(target).where(touched & (F.col("batch") != number)).select(*[F.col(c).alias(f"_{c}") for c in keys])
+            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])  # NULL keys are copies of each other
+            fresh = fresh.join(stored, same, "left_anti")
         _replace_partitions(fresh.withColumn("batch", F.lit(number)), target, [day, "batch"])
 
     each_batch(stream, change, checkpoint)

@@ -23,7 +23,10 @@ def test_heatmap_has_all_months_and_no_null_class(spark):
 def test_region_counts_and_their_maximum(spark):
     got = counts.accidents_by_region(_accidents(spark))
     assert rows(got, "alpine_region", "year") == [
-        ("East", 1998, 0, 0, 0, 1, 0), ("West", 1998, 0, 1, 0, 1, 0), ("West", 1999, 1, 0, 0, 0, 0)]
+        ("East", 1998, 0, 0, 0, 1, 0, 0), ("West", 1998, 0, 1, 0, 1, 0, 0), ("West", 1999, 1, 0, 0, 0, 0, 0)]
+    more = spark.createDataFrame([("West", "1999-01-01", 7), ("West", "2005-01-01", None)], "alpine_region STRING, date STRING, k_cluster INT")
+    more = counts.accidents_by_region(more.withColumn("date", more.date.cast("date")))
+    assert rows(more, "year") == [("West", 1999, 0, 0, 0, 0, 0, 1)]  # further labels count apart, missing ones not at all
     assert counts.max_yearly_accidents(_accidents(spark)).first()[0] == 2
 
 

@@ -100,6 +100,15 @@ def test_loaders(spark, tmp_path, load, schema, sep):
     assert got.schema == schema and all(v is not None for v in got.first())
 
 
+def test_other_names_of_components(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k_cluster,PC1,PC2\n2,1.0,3.0\n")
+    got = loaders.load_cluster_means(spark, str(tmp_path / "a.csv"))
+    assert got.schema == schemas.CLUSTER_MEANS and tuple(got.first()) == (2, 1.0, 3.0)
+    (tmp_path / "b.csv").write_text("PC1,PC2,k_cluster\n1.0,3.0,2\n")
+    got = loaders.load_pca_training(spark, str(tmp_path / "b.csv"))
+    assert got.columns == ["PCA1", "PCA2", "k_cluster"] and tuple(got.first()) == (1.0, 3.0, 2)
+
+
 def test_files_with_other_columns_are_refused(spark, tmp_path):
     (tmp_path / "a.csv").write_text("PCA1,k_cluster,PCA2\n1.0,2,3.0\n")
     with pytest.raises(Exception):
