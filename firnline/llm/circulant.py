@@ -9,9 +9,12 @@ threshold of 0.8 misses all of them with probability (1 - 0.8**5)**32 = 3e-6.
   2. In each bucket every class is a candidate with the bucket's smallest id.
   3. Candidates pass if their sizes allow the threshold and their signatures agree in CHECKED places
      (six standard deviations below what the threshold leads to); then the full sets decide.
-  4. Components of the links so far; then candidates are the pairs of classes in one bucket that lie in
-     different components, as only they can still matter. They are verified alike, and components are
-     formed again. Groups of near copies have become one component by then and emit no pairs.
+  4. Components of the links so far. What can still matter are pairs of classes in one bucket that lie in
+     different components. All members of a bucket belong to the star of its leader, and one of such a
+     pair is an outlier there, in another component than the leader. Outliers of a star meet all its
+     members in blocks of about BLOCK times BLOCK classes, compared on full sets inside a task, which
+     yields one link per outlier and component. A group of near copies is one component by then and
+     leaves its few outliers; a large star is spread over many blocks.
 
 Sets are computed again for documents in surviving pairs alone, so texts and sets of all others are
 never shuffled. Joins on bucket keys and ids read stored tables on both sides, which lets Spark split
@@ -38,6 +41,8 @@ PLACES = BANDS * ROWS
 CHECKED = 97
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Classes on each side of a block of comparisons.
+BLOCK = 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -178,6 +183,57 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return stored(whole.mapInArrow(linked, kind), "near-links")
 
 
+def compare_block(rows: pa.Table) -> pa.Table:
+    """Links between the outliers and the members of one block, one per outlier and component."""
+    side = rows["outlier"].to_numpy(zero_copy_only=False).astype(bool)
+    ids, tops = rows["id"].to_numpy(), rows["top"].to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["items"]]
+    sizes = np.array([len(s) for s in sets])
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    out: set[tuple[int, int]] = set()
+    if len(left) and len(right):
+        common = np.intersect1d(np.concatenate([sets[i] for i in left]), np.concatenate([sets[i] for i in right]))
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for begin in range(0, len(common), 4096):
+            some = common[begin:begin + 4096]
+            marks = []
+            for part in (left, right):
+                mark = np.zeros((len(part), len(some)), np.float32)
+                for r, i in enumerate(part):
+                    at = np.searchsorted(some, sets[i])
+                    at = at[(at < len(some)) & (some[np.minimum(at, len(some) - 1)] == sets[i])]
+                    mark[r, at] = 1
+                marks.append(mark)
+            shared += marks[0] @ marks[1].T
+        both = 100 * shared >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - shared)
+        both &= tops[left][:, None] != tops[right][None, :]
+        seen = set()
+        for x, y in zip(*np.nonzero(both), strict=True):
+            if (x, tops[right[y]]) not in seen:
+                seen.add((x, tops[right[y]]))
+                out.add((int(ids[left[x]]), int(ids[right[y]])))
+    pairs = sorted(out)
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _star_links(star: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between members of different components of each star(b, id, top)."""
+    own = star.where("id = b").select("b", F.col("top").alias("own"))
+    marked = stored(star.join(own, "b").withColumn("outlier", F.col("top") != F.col("own")), "near-marked")
+    counts = marked.groupBy("b").agg(F.count("*").alias("m"), F.sum(F.col("outlier").cast("long")).alias("k")).where("k > 0")
+    counts = counts.select("b", F.ceil(F.col("k") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK).cast("int").alias("columns"))
+    placed = stored(marked.join(stored(counts, "near-counts"), "b"), "near-placed")
+    ends = stored(placed.select(F.col("id").alias("doc_id")).distinct(), "near-ends")
+    items = stored(docs.join(ends, "doc_id", "left_semi").mapInArrow(full_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "near-sets")
+    whole = placed.join(items.withColumnRenamed("doc_id", "id"), "id")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["b", "id", "top", "items"]
+    outliers = whole.where("outlier").select(*keep, F.lit(True).alias("outlier"), part("rows").alias("i"), every("columns").alias("j"))
+    members = whole.select(*keep, F.lit(False).alias("outlier"), part("columns").alias("j"), every("rows").alias("i"))
+    return outliers.unionByName(members).groupBy("b", "i", "j").applyInArrow(compare_block, "a long, b long")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
@@ -198,14 +254,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     known = texts.where("doc_id is not null")
     links = _verified(stored(first, "near-pairs"), classes, known)
     tops = components(links)
-    # second round: pairs in one bucket that the first has left in different components
-    crowded = entries.join(leaders.select("band"), "band", "left_semi").join(tops.select(F.col("node").alias("id"), "component"), "id", "left")
-    crowded = stored(crowded.select("band", "id", "n", F.coalesce("component", "id").alias("top")), "near-crowded")
+    # second round: buckets whose members the first has left in different components
+    crowded = entries.join(leaders, "band").join(tops.select(F.col("node").alias("id"), "component"), "id", "left")
+    crowded = stored(crowded.select("band", "b", "id", F.coalesce("component", "id").alias("top")), "near-crowded")
     split = crowded.groupBy("band").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("band")
-    rest = stored(crowded.join(stored(split, "near-split"), "band", "left_semi"), "near-rest")
-    other = rest.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("top").alias("other"))
-    second = rest.join(other, "band").where((F.col("top") < F.col("other")) & fits(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b").distinct()
-    more = _verified(stored(second, "near-pairs"), classes, known)
+    star = stored(crowded.join(stored(split, "near-split"), "band", "left_semi").select("b", "id", "top").distinct(), "near-stars")
+    more = stored(_star_links(star, known), "near-links")
     tops = components(links.union(more))
     groups = classes.join(tops.select(F.col("node").alias("id"), "component"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = marked.join(stored(groups, "near-groups"), "set_key", "left")
