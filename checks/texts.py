@@ -62,7 +62,7 @@ DEDUPE = """SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l
  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
    ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) x WHERE rn = 1"""
 
-CLEAN = """SELECT date, canton, municipality, start_zone_coordinates_latitude, start_zone_coordinates_longitude,
+CLEAN = """SELECT acc_id, date, canton, municipality, start_zone_coordinates_latitude, start_zone_coordinates_longitude,
  start_zone_elevation, number_dead, number_caught, number_fully_buried FROM v_accidents WHERE date > DATE '1991-12-31'"""
 
 NEIGHBOURS = f"""SELECT acc_id, neighbour, e, rank FROM (
@@ -85,6 +85,20 @@ def trend(measure: str, window: int, by_station: bool) -> str:
             f" THEN round(avg(value) OVER w, 8) END AS value_avg FROM ({rows}) t0 WINDOW w AS ({over})")
 
 
+_WEATHER = {"air_temp_day_mean": "air_temp_mean_stations", "wind_speed_day_mean": "wind_speed_mean_stations", "wind_speed_day_max": "wind_speed_max_stations",
+            "snow_surf_temp_day_mean": "snow_surf_temp_mean_stations", "snow_ground_temp_day_mean": "snow_ground_temp_mean_stations"}
+_SNOW = {"snow_height_cm": "snow_height_mean_stations", "new_snow_cm": "new_snow_mean_stations"}
+# fill, both radius joins, region and class, from the raw accidents
+TRAINING = f"""SELECT acc_id, date, canton, start_zone_elevation, {', '.join([*_WEATHER.values(), *_SNOW.values()])}, alpine_region,
+ {ELEVATION_CASE} AS elevation_group FROM (
+ SELECT a.acc_id, a.date, a.canton, a.alpine_region, coalesce(a.start_zone_elevation, f.filled) AS start_zone_elevation,
+  coalesce(a.start_zone_elevation, f.filled) AS elevation, {', '.join('w.' + c for c in _WEATHER.values())}, {', '.join('s.' + c for c in _SNOW.values())}
+ FROM v_accidents a LEFT JOIN (SELECT acc_id, round(avg(e), 2) AS filled FROM ({NEIGHBOURS}) k0 GROUP BY acc_id) f ON a.acc_id = f.acc_id
+ JOIN ({near('v_hist_weather', _WEATHER)}) w ON a.acc_id = w.acc_id JOIN ({near('v_hist_snow', _SNOW)}) s ON a.acc_id = s.acc_id
+ WHERE a.date > DATE '1991-12-31') t0"""
+TRAINING_MEANS = """SELECT k_cluster, round(avg(PCA1), 6) AS PCA1, round(avg(PCA2), 6) AS PCA2, count(*) AS n FROM v_acc_scored GROUP BY 1"""
+
+
 SQL: dict[str, str] = {
     "scan_stations": "SELECT * FROM v_stations",
     "scan_csv": "SELECT * FROM v_accidents",
@@ -147,6 +161,8 @@ FROM v_hist_snow h JOIN v_stations s ON h.station_code = s.code WHERE h.measure_
 LEFT JOIN (SELECT acc_id, round(avg(e), 2) AS filled FROM ({NEIGHBOURS}) k0 GROUP BY acc_id) f ON a.acc_id = f.acc_id""",
     "risk_lookup": f"""SELECT acc_id, k_cluster, {RISK} AS risk_group, {CHARACTER} AS character,
  {colour('k_cluster', 'gray')} AS colour FROM v_accidents""",
+    "training_rows": TRAINING,
+    "training_means": TRAINING_MEANS,
     "dedupe_keep_first": DEDUPE,
     "daily_rollup": ROLLUP,
     "daily_rollup_split": """SELECT date, min(measure_date) AS measure_date, round(median(HS), 8) AS HS,

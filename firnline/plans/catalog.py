@@ -302,6 +302,23 @@ def _bare_accidents(spark, d):
     return A.accidents(spark, d).select("acc_id", "date", history.LATITUDE, history.LONGITUDE)
 
 
+@query
+def training_rows(spark, d):
+    """The historical pipeline from its raw table on: clean, fill, weather, snow, region, class."""
+    rows = history.training_rows(history.clean_accidents(A.raw_accidents(spark, d)), A.hist_weather(spark, d), A.hist_snow(spark, d))
+    names = [*HISTORY_WEATHER.values(), *HISTORY_SNOW.values()]
+    return rounded(rows.select("acc_id", "date", "canton", "start_zone_elevation", *names, "alpine_region", "elevation_group"), *names)
+
+
+@query
+def training_means(spark, d):
+    """Mean position and number of rows per cluster, of what a training run writes."""
+    written = history.training_outputs(A.fixed_model(), history.classed(A.accidents(spark, d).drop("k_cluster")))
+    counts_ = written["centres"].select(F.col("cluster").alias("k_cluster"), F.col("count").alias("n")).where("n > 0")
+    means = written["means"].select("k_cluster", F.round("PCA1", 6).alias("PCA1"), F.round("PCA2", 6).alias("PCA2"))
+    return means.join(counts_, "k_cluster")
+
+
 @query
 def knn_neighbours(spark, d):
     known, missing = filters.split_missing(A.accidents(spark, d), "start_zone_elevation")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from firnline.functions.dates import midnight_stamp
 from firnline.functions.places import alpine_region_hist, elevation_group
 from firnline.operators.clusters import RiskModel
+from firnline.operators.counts import cluster_means, cluster_share
+from firnline.operators.enrich import with_risk
 from firnline.operators.filters import since, since_hyear
 from firnline.operators.neighbours import impute_from_neighbours
 from firnline.operators.radius import snow_near, weather_near
@@ -17,12 +19,12 @@ LATITUDE, LONGITUDE = "start_zone_coordinates_latitude", "start_zone_coordinates
 
 
 def clean_accidents(raw: DataFrame, after: str = "1991-12-31") -> DataFrame:
-    """The nine columns in use, later than a day, in order of date.
+    """The accident's number as acc_id and the nine columns in use, later than a day, in order of date.
 
     Rows of one day keep their order; as a second sort key it also lets a day with very
     many rows spread over several tasks.
     """
-    chosen = since(raw, "date", after).select(*ACCIDENT_COLUMNS, F.monotonically_increasing_id().alias("_at"))
+    chosen = since(raw, "date", after).select(F.col("avalanche_id").alias("acc_id"), *ACCIDENT_COLUMNS, F.monotonically_increasing_id().alias("_at"))
     return chosen.orderBy("date", "_at").drop("_at")
 
 
@@ -51,7 +53,10 @@ def joined_accidents(accidents: DataFrame, weather: DataFrame, snow: DataFrame)
 
 
 def training_rows(accidents: DataFrame, weather: DataFrame, snow: DataFrame) -> DataFrame:
-    rows = joined_accidents(filled_accidents(accidents), weather, snow)
+    return classed(joined_accidents(filled_accidents(accidents), weather, snow))
+
+
+def classed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("elevation_group", elevation_group(F.col("start_zone_elevation")))
 
 
@@ -59,6 +64,32 @@ def train(rows: DataFrame) -> RiskModel:
     return RiskModel.fit(rows)
 
 
+def training_outputs(model: RiskModel, rows: DataFrame) -> dict[str, DataFrame]:
+    """What a training run leaves: clustered rows, their positions, centres with number and share, and mean positions.
+
+    Centres are those of the model; there are as many rows of centres and means as clusters.
+    """
+    scored = model.score(rows)
+    kind = "cluster INT, " + ", ".join(f"{f} DOUBLE" for f in model.scaler.features) + ", PCA1 DOUBLE, PCA2 DOUBLE"
+    centres = rows.sparkSession.createDataFrame(model.centre_rows(), kind)
+    shares = cluster_share(scored).select(F.col("k_cluster").alias("cluster"), F.col("n").alias("count"), "percentage")
+    named = with_risk(centres, "cluster")
+    centres = named.join(shares, "cluster", "left").select(
+        "cluster", "character", F.col("risk_group").alias("risk"), *model.scaler.features, F.coalesce("count", F.lit(0)).alias("count"),
+        F.coalesce("percentage", F.lit(0.0)).alias("percentage"), "PCA1", "PCA2")
+    return {"clustered": scored.drop("PCA1", "PCA2"), "positions": pca_training(model, rows), "centres": centres,
+            "means": cluster_means(scored, ["PCA1", "PCA2"])}
+
+
+def run_training(rows: DataFrame, folder: str) -> RiskModel:
+    """Fit a model and write it and its outputs below folder."""
+    model = train(rows)
+    model.save(rows.sparkSession, f"{folder}/model")
+    for name, frame in training_outputs(model, rows).items():
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return model
+
+
 def pca_training(model: RiskModel, rows: DataFrame) -> DataFrame:
     return model.score(rows).select(
         "municipality", "canton", "date", "alpine_region", "elevation_group", "PCA1", "PCA2", "k_cluster"

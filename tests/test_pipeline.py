@@ -4,9 +4,12 @@ import datetime as dt
 import json
 import random
 
+import pytest
+
 from firnline import schemas
 from firnline.operators.clusters import RiskModel
 from firnline.plans import history, live, panels
+from firnline.sources import loaders
 from firnline.vocabulary import FEATURES
 from tests.conftest import rows
 
@@ -70,7 +73,32 @@ def test_raw_accidents_are_cut_to_nine_columns_since_1992(spark):
     frame = spark.createDataFrame([(dt.date(1991, 12, 31),), (dt.date(1998, 5, 1),), (dt.date(1992, 1, 1),)], "date DATE")
     raw = frame.selectExpr("date", *[f"NULL AS {c}" for c in schemas.ACCIDENTS_RAW.fieldNames() if c != "date"])
     got = history.clean_accidents(raw)
-    assert got.columns == schemas.ACCIDENT_COLUMNS and [r.date.year for r in got.collect()] == [1992, 1998]
+    assert got.columns == ["acc_id", *schemas.ACCIDENT_COLUMNS] and [r.date.year for r in got.collect()] == [1992, 1998]
+
+
+def test_raw_file_to_training_outputs(spark, tmp_path):
+    """From the landed file on; no column is added by hand."""
+    names = schemas.ACCIDENTS_RAW.fieldNames()
+    lines = [";".join(names)]
+    for i in range(40):
+        row = {"avalanche_id": i, "date": "2000-01-0" + str(1 + i % 5), "canton": "GR", "municipality": "M", "start_zone_coordinates_latitude": 46 + i / 5000,
+               "start_zone_coordinates_longitude": 9.0, "start_zone_elevation": "" if i % 4 == 0 else 2000 + i, "number_dead": 0, "number_caught": 1, "number_fully_buried": 0}
+        lines.append(";".join(str(row.get(n, "")) for n in names))
+    (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
+    raw = loaders.load_raw_accidents(spark, str(tmp_path / "raw.csv"))
+    days = [dt.date(2000, 1, d) for d in range(1, 6)]
+    weather = spark.createDataFrame([(d, 46.0, 9.0, -3.0 * k, 2.0, 8.0 + k, -5.0, None) for k, d in enumerate(days)], schemas.HISTORY_WEATHER)
+    snow = spark.createDataFrame([(d, 46.0, 9.0, 100.0 + 9 * k, 4.0 + k * k) for k, d in enumerate(days)],
+                                 "measure_date DATE, imis_latitude DOUBLE, imis_longitude DOUBLE, snow_height_cm DOUBLE, new_snow_cm DOUBLE")
+    rows_ = history.training_rows(history.clean_accidents(raw), weather, snow)
+    model = history.run_training(rows_, str(tmp_path / "out"))
+    read = {n: spark.read.parquet(str(tmp_path / "out" / n)) for n in ("clustered", "positions", "centres", "means")}
+    assert read["clustered"].count() == 40 and read["positions"].columns == schemas.PCA_TRAINING.fieldNames()
+    assert read["centres"].columns == schemas.CLUSTER_CENTRES.fieldNames() and read["centres"].count() == len(model.centres)
+    assert sum(r["count"] for r in read["centres"].collect()) == 40 and {r["count"] for r in read["centres"].collect()} == {8}
+    at = {r.cluster: (r.PCA1, r.PCA2) for r in read["centres"].collect()}
+    for r in read["means"].collect():
+        assert (r.PCA1, r.PCA2) == pytest.approx(at[r.k_cluster], abs=1e-6)
 
 
 def test_future_months_are_empty_and_a_canton_groups_by_station(spark):
