@@ -1,9 +1,11 @@
-"""Every registered query against its DuckDB text on the smallest tables."""
+"""Every query of the library proper against its DuckDB text on the smallest tables."""
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import connect, duck_rows, spark_rows
+from checks.texts import ORACLE
+from firnline.plans.catalog import QUERIES
 
 UNWANTED = ["CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"]
 WITHOUT_TEXT = {"freshness", "kmeans_fit", "pca_fit", "elbow"}
@@ -14,7 +16,7 @@ def duck(small):
     return connect(small)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, small, duck, name):
     frame = queries()[name](spark, small)
     plan = frame._jdf.queryExecution().executedPlan().toString()
@@ -29,7 +31,8 @@ def test_query(spark, small, duck, name):
 
 
 def test_every_text_belongs_to_a_query():
-    assert set(oracle_sql()) == set(queries()) - WITHOUT_TEXT
+    assert set(ORACLE) == set(QUERIES) - WITHOUT_TEXT
+    assert set(QUERIES) <= set(queries()) and ORACLE.items() <= oracle_sql().items()
 
 
 def test_entry(spark, small):
