@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from firnline.session import broadcast_if_small, stored
+
 ACCURACY = 200_000
 MARGIN = 4.0 / ACCURACY  # four times the rank error the sketch allows
 
@@ -19,7 +21,7 @@ def bracketed_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value) with the exact median of the non-NULL values per group.
 
     ``rows`` holds only large groups: their number is at most rows / threshold, so the
-    table of one row per group that is joined here is small whatever the input.
+    table of one row per group that is joined here is small; it is stored, and broadcast behind a check of its size.
     """
     rows = rows.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL")
     sketch = F.percentile_approx("_v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
@@ -29,7 +31,7 @@ def bracketed_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     # everything below the bracket counts under the value NULL, which sorts first
     inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")
     counted = (
-        rows.join(F.broadcast(edges), keys).where(F.col("_v") <= F.col("_high"))
+        rows.join(broadcast_if_small(stored(edges, "median-edges")), keys).where(F.col("_v") <= F.col("_high"))
         .groupBy(*keys, "_n", inside).agg(F.count("*").alias("_c"))
     )
     upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)

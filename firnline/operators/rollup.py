@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firnline.operators.filters import present
 from firnline.operators.medians import bracketed_median
-from firnline.session import HOT_ROWS, is_large
+from firnline.session import HOT_ROWS, broadcast_if_small, stored
 from firnline.vocabulary import ROLLUP_MAXIMA, ROLLUP_MEANS, ROLLUP_MEDIANS
 
 
@@ -28,25 +28,25 @@ def daily_rollup(
 ) -> DataFrame:
     """One row per key: earliest ``first``, medians, means and maxima; NULL keys drop out.
 
-    One pass with partial aggregation. On large inputs the groups above ``hot_rows``
-    rows, if any, get their medians by the bracketed plan.
+    One pass with partial aggregation. Groups are counted first: those above ``hot_rows``
+    rows, if any, get their medians by the bracketed plan, since a median holds its group.
     """
     rows = present(rows, keys)
     plain = [F.min(first).alias(first)]
     plain += [F.avg(c).alias(c) for c in means] + [F.max(c).alias(c) for c in maxima]
     order = [*keys, first, *medians, *means, *maxima]
-    if not medians or (hot_rows is None and not is_large(rows)):
+    if not medians:
+        return rows.groupBy(*keys).agg(*plain).select(*order)
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (hot_rows or HOT_ROWS)).select(*keys)
+    hot = broadcast_if_small(stored(hot, "hot-groups"))
+    if hot.isEmpty():
         return rows.groupBy(*keys).agg(*plain, *[F.median(c).alias(c) for c in medians]).select(*order)
 
-    # at most rows / HOT_ROWS keys: a size bound that holds for any input
-    hot = F.broadcast(
-        rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (hot_rows or HOT_ROWS)).select(*keys)
-    )
     cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(*plain, *[F.median(c).alias(c) for c in medians])
     heavy = rows.join(hot, keys, "left_semi")
     split = heavy.groupBy(*keys).agg(*plain)
     for column in medians:
-        split = split.join(F.broadcast(bracketed_median(heavy, keys, column)), keys, "left")
+        split = split.join(bracketed_median(heavy, keys, column), keys, "left")
     return cold.select(*order).unionByName(split.select(*order))
 
 

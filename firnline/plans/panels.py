@@ -73,7 +73,8 @@ def trend(live: DataFrame, measure: str, window: int = 7, region: str | None = N
     rows = _trend_rows(live, region, canton, codes, start, end)
     if codes if per_station is None else per_station:
         named = rows.where(F.col("measure_date").isNotNull()).select("station_code", "measure_date", F.col(column).alias("value"))
-        return moving_average(named, ["value"], window, ["measure_date"], ["station_code"], F.year("measure_date"))
+        # several rows of one day are ordered by value, so that their averages do not depend on arrival
+        return moving_average(named, ["value"], window, ["measure_date", "value"], ["station_code"], F.year("measure_date"))
     per_day = means_per_day(rows, "measure_date", [column]).withColumnRenamed(column, "value")
     return moving_average(per_day, ["value"], window, ["measure_date"])
 

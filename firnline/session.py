@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 # Inputs estimated above this get the plans that split groups holding very many rows.
 SPLIT_BYTES = 8 << 30
-# A group with more rows than this is handled apart; at most rows / HOT_ROWS such groups exist.
-HOT_ROWS = 20_000_000
+# A group with more rows than this is handled apart; a buffer of that many values fits any task.
+HOT_ROWS = 100_000
 
 
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
