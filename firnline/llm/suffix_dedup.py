@@ -38,6 +38,7 @@ from firnline.session import stored
 LENGTH, GRAM = 400, 200
 #: Windows of a text that are handled at once.
 PIECE = 2 << 20
+GRAM_MARK = np.uint64(GRAM * int(BASE) % (1 << 64))
 _TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -81,7 +82,7 @@ def anchor_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     sums, down = prefix_sums(raw)
     at = np.arange(len(raw) - GRAM + 1)
-    grams = mixed((sums[GRAM:] - sums[:-GRAM]) * down[:len(at)] + np.uint64(GRAM) * BASE)
+    grams = mixed((sums[GRAM:] - sums[:-GRAM]) * down[:len(at)] + GRAM_MARK)
     ranks = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     anchor = (sliding_minimum(ranks, LENGTH - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     windows = np.arange(len(anchor))
@@ -240,7 +241,8 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     suffix = "lead long, gram long, around long, key long, pos long, n long"
     texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    anchors = stored(texts.select("key", "text").mapInArrow(first_suffixes, suffix), "suffix-anchors")
+    # hashed twice, for the splitters and for the shuffle, which costs less than storing all anchors
+    anchors = texts.select("key", "text").mapInArrow(first_suffixes, suffix)
     once = stored(compared(anchors), "suffix-runs")
     runs = lambda df: df.groupBy("key").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
     unsure = stored(runs(once.where("part")), "suffix-unsure")
