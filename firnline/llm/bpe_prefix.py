@@ -38,15 +38,16 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.lengths = {i: len(t) for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self._pairs: dict[int, bool] = {}
         self._edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
-        # lengths of the tokens that end in two given bytes, longest first
+        # lengths of the tokens that end in three given bytes, longest first, and the two shorter ones
         sizes: dict[bytes, set[int]] = {}
         for t in ranks:
-            if len(t) > 1:
-                sizes.setdefault(t[-2:], set()).add(len(t))
-        self.sizes = {end: [*sorted(s, reverse=True), 1] for end, s in sizes.items()}
+            if len(t) > 2:
+                sizes.setdefault(t[-3:], set()).add(len(t))
+        self.sizes = {end: (*sorted(s, reverse=True), 2, 1) for end, s in sizes.items()}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge gives token; None for a single byte."""
@@ -77,7 +78,7 @@ class PrefixBpe:
         known = self._pairs.get(key)
         if known is None:
             known = self._pairs[key] = self._meet(self.edge(before, 1), self.edge(token, 0))
-            if len(self._pairs) >= 1 << 20:  # forgotten pairs are computed again
+            if len(self._pairs) >= 1 << 18:  # forgotten pairs are computed again
                 self._pairs.clear()
         return known
 
@@ -98,18 +99,46 @@ class PrefixBpe:
 
     def last_token(self, raw: bytes, upto: int, last: list[int]) -> int:
         """Last token of the encoding of raw[:upto], given those of all shorter prefixes (last[0] is -1)."""
-        for size in self.sizes.get(raw[upto - 2:upto], (1,)) if upto > 1 else (1,):
-            if size <= upto:
-                token = self.ranks.get(raw[upto - size:upto])
-                if token is not None and self.fits(last[upto - size], token):
-                    return token
+        for size in range(min(self.longest, upto), 0, -1):
+            token = self.ranks.get(raw[upto - size:upto])
+            if token is not None and self.fits(last[upto - size], token):
+                return token
         raise ValueError("the vocabulary lacks single bytes")
 
+    def extend(self, raw: bytes, last: list[int]) -> None:
+        """Append to last the last tokens of all prefixes of raw that it lacks; last_token in a loop, without calls."""
+        ranks, pairs, sizes, fits, short = self.ranks, self._pairs, self.sizes, self.fits, (2, 1)
+        for upto in range(len(last), len(raw) + 1):
+            for size in sizes.get(raw[upto - 3:upto], short) if upto > 2 else short:
+                if size > upto:
+                    continue
+                token = ranks.get(raw[upto - size:upto])
+                if token is not None:
+                    before = last[upto - size]
+                    known = pairs.get(before << 32 | token)
+                    if known or (known is None and fits(before, token)):
+                        last.append(token)
+                        break
+            else:
+                raise ValueError("the vocabulary lacks single bytes")
+
+    def ids(self, last: list[int]) -> list[int]:
+        """The encoding that the table of last tokens holds."""
+        out, at, lengths = [], len(last) - 1, self.lengths
+        while at:
+            token = last[at]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
+        return out
+
     def encode(self, raw: bytes) -> list[int]:
         whole = self.ranks.get(raw)
         if whole is not None:  # a piece that is a token is that token, even if merging would not reach it
             return [whole]
-        return Prefixes(self, raw).ids()
+        last = [-1]
+        self.extend(raw, last)
+        return self.ids(last)
 
 
 class Prefixes:
@@ -121,8 +150,7 @@ class Prefixes:
 
     def append(self, more: bytes) -> None:
         self.raw += more
-        for upto in range(len(self.last), len(self.raw) + 1):
-            self.last.append(self.bpe.last_token(self.raw, upto, self.last))
+        self.bpe.extend(self.raw, self.last)
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replace raw[start:end] by new; returns how many entries were computed."""
@@ -142,11 +170,7 @@ class Prefixes:
         return done
 
     def ids(self) -> list[int]:
-        out, at = [], len(self.raw)
-        while at:
-            out.append(self.last[at])
-            at -= len(self.bpe.tokens[out[-1]])
-        return out[::-1]
+        return self.bpe.ids(self.last)
 
 
 class PieceCache(Recent):
@@ -179,6 +203,21 @@ def _cache(raw: bytes) -> PieceCache:
     return _READY[key]
 
 
+_TOKENS: dict[int, np.ndarray] = {}
+
+
+def _tokens(raw: bytes) -> np.ndarray:
+    """Bytes by id, once per Python worker and vocabulary."""
+    key = hash(raw)
+    if key not in _TOKENS:
+        ranks = read_ranks(raw)
+        table = np.empty(max(ranks.values(), default=0) + 1, object)
+        for t, i in ranks.items():
+            table[i] = t
+        _TOKENS[key] = table
+    return _TOKENS[key]
+
+
 def _vocabulary(docs: DataFrame, path: str):
     ship(docs.sparkSession)
     with open(path, "rb") as f:  # a fixed file of about a megabyte
@@ -210,10 +249,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     raw = _vocabulary(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _cache(raw.value).bpe.tokens
-        table = np.empty(max(tokens, default=0) + 1, object)
-        for i, t in tokens.items():
-            table[i] = t
+        table = _tokens(raw.value)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)

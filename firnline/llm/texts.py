@@ -113,8 +113,10 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run; done once for a Spark context."""
+    """Let Python workers import this package wherever they run, and hold a thousand rows at a time; done once for a Spark context."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts are long rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if getattr(context, "_firnline_shipped", False):
         return
     top, raw = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), io.BytesIO()
