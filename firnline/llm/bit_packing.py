@@ -143,7 +143,7 @@ class PieceIds(Recent):
     """
 
     def __init__(self, tokenizer):
-        super().__init__(1 << 18)
+        super().__init__(1 << 19)
         self.tokenizer = tokenizer
 
     def pieces(self, text: str) -> list[str]:
@@ -165,19 +165,13 @@ class PieceIds(Recent):
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.pieces(t) for t in texts]
-        new = list({p for part in parts for p in part if p not in self and p not in self.older})
-        own = {}
+        new = [p for p in set().union(*parts) if p not in self and p not in self.older]
         for begin in range(0, len(new), 4096):
             some = new[begin:begin + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                own[p] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for part in parts:
-            out.append(np.frombuffer(b"".join([own[p] if p in own else self[p] for p in part]), "<u4"))
-        for p, ids in own.items():
-            if self.worth(p):
-                self.keep(p, ids)
-        return out
+                if self.worth(p):
+                    self.keep(p, np.array(e.ids, "<u4").tobytes())
+        return [np.frombuffer(b"".join(map(self.__getitem__, part)), "<u4") for part in parts]
 
 
 _READY: dict[int, PieceIds] = {}
