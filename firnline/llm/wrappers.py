@@ -44,6 +44,9 @@ FURNITURE_NAMES = frozenset(("ad ads advert adverts advertisement advertising sp
                              " contentinfo complementary search").split())
 HEADER_NAMES = frozenset(("header", "banner", "masthead", "topbar"))
 CONTENT = frozenset(("article", "main"))
+#: Elements that class and id words never judge: they stand for the page or its text.
+UNJUDGED = frozenset(("", "html", "body", "main", "article"))
+DISCUSSION = frozenset("comment comments discussion replies disqus".split())
 DEPTH = 150
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -94,10 +97,13 @@ def parse(page: str) -> list:
 
 
 def folded(node: list) -> list:
-    """Wrapper of one page: [label, flags, children]; a text is ["#", hash or 0 for a slot]. flags: 1 optional, 2 repeated."""
+    """Wrapper of one page: [label, flags, children, characters of own texts on all pages]; a text is ["#", mark].
+
+    flags: 1 optional, 2 repeated. mark: 0 for a slot, a hash for a literal, negative if several pages have it.
+    """
     if node[0] == "#":
         return ["#", zlib.crc32(node[1].encode()) or 1]
-    return [node[0], 0, fold_list([folded(c) for c in node[1]])]
+    return [node[0], 0, fold_list([folded(c) for c in node[1]]), sum(len(c[1]) for c in node[1] if c[0] == "#")]
 
 
 def fold_list(items: list) -> list:
@@ -146,49 +152,81 @@ def pairs(left: list, right: list) -> list[tuple[int, int]]:
     return out
 
 
-def merged(left: list, right: list, repeated: bool = False) -> list:
+def merged(left: list, right: list, repeated: bool = False, one_page: bool = False) -> list:
     """Wrapper that fits whatever fits left or right; both have the same label."""
+    one_page = one_page or repeated
     if left[0] == "#":
-        return ["#", left[1] if left[1] == right[1] else 0]
+        same = abs(left[1]) == abs(right[1])
+        return ["#", (min(left[1], right[1]) if one_page else -abs(left[1])) if same else 0]
     flags = left[1] | right[1] | (2 if repeated else 0)
     out, i, j = [], 0, 0
     for x, y in [*pairs(left[2], right[2]), (len(left[2]), len(right[2]))]:
         out.extend(optional(n) for n in (*left[2][i:x], *right[2][j:y]))
         if x < len(left[2]):
-            out.append(merged(left[2][x], right[2][y]))
+            out.append(merged(left[2][x], right[2][y], one_page=one_page))
         i, j = x + 1, y + 1
-    return [left[0], flags, fold_list(out)]
+    return [left[0], flags, fold_list(out), left[3] + right[3]]
 
 
 def optional(node: list) -> list:
-    return node if node[0] == "#" else [node[0], node[1] | 1, node[2]]
+    return node if node[0] == "#" else [node[0], node[1] | 1, *node[2:]]
 
 
-def is_furniture(label: str, in_content: bool) -> bool:
+def furniture_tag(label: str, in_content: bool) -> bool:
+    tag = label.split(".")[0]
+    return tag in FURNITURE_TAGS or (tag == "header" and not in_content)
+
+
+def furniture_names(label: str, in_content: bool) -> bool:
     tag, *names = label.split(".")
-    if tag in CONTENT:
-        return bool(FURNITURE_NAMES.intersection(names))
-    return tag in FURNITURE_TAGS or bool(FURNITURE_NAMES.intersection(names)) or (not in_content and (tag == "header" or bool(HEADER_NAMES.intersection(names))))
+    return tag not in UNJUDGED and (bool(FURNITURE_NAMES.intersection(names)) or (not in_content and bool(HEADER_NAMES.intersection(names))))
+
+
+def is_furniture(label: str, in_content: bool) -> bool:
+    return furniture_tag(label, in_content) or furniture_names(label, in_content)
 
 
 def content_nodes(wrapper: list) -> set[int]:
-    """Preorder numbers of the wrapper's nodes whose texts are content."""
-    nodes: list[tuple[list, int, int, bool]] = []  # node, parent, end of its part, left out
+    """Preorder numbers of the wrapper's nodes whose texts are content.
+
+    Class and id words do not judge a part that holds more than half of the text that varies. Of the
+    discussion's words one does even then, unless the part has the page's main heading.
+    """
+    nodes: list[tuple[list, int, int, bool, bool]] = []  # node, parent, end of its part, left out, below a content element
 
-    def walk(node: list, parent: int, out: bool, inside: bool) -> None:
+    def number(node: list, parent: int, out: bool, inside: bool) -> None:
         me = len(nodes)
-        out = out or (node[0] != "#" and is_furniture(node[0], inside))
-        nodes.append((node, parent, 0, out))
+        out = out or (node[0] != "#" and furniture_tag(node[0], inside))
+        nodes.append((node, parent, 0, out, inside))
         for c in node[2] if node[0] != "#" else ():
-            walk(c, me, out, inside or node[0].split(".")[0] in CONTENT)
-        nodes[me] = (node, parent, len(nodes), out)
+            number(c, me, out, inside or node[0].split(".")[0] in CONTENT)
+        nodes[me] = (node, parent, len(nodes), out, inside)
 
-    walk(wrapper, -1, False, False)
-    tops = [i for i, (n, _, _, out) in enumerate(nodes) if not out and n[0].split(".")[0] in CONTENT]
+    number(wrapper, -1, False, False)
+    held, headed = [0] * len(nodes), [False] * len(nodes)
+    for every in (False, True):  # where nothing varies, all texts count
+        for i in range(len(nodes) - 1, -1, -1):
+            n, parent, _, out, _ = nodes[i]
+            if n[0] == "#":
+                continue
+            if not out and any(c[0] == "#" and (every or c[1] >= 0) for c in n[2]):
+                held[i] += n[3]
+            headed[i] = headed[i] or n[0].split(".")[0] == "h1"
+            if parent >= 0:
+                held[parent] += held[i]
+                headed[parent] = headed[parent] or headed[i]
+        if held[0]:
+            break
+    for i, (n, parent, end, out, inside) in enumerate(nodes):
+        if parent >= 0 and not out and n[0] != "#":
+            most = 2 * held[i] > held[0] and (headed[i] or not DISCUSSION.intersection(n[0].split(".")[1:]))
+            out = furniture_names(n[0], inside) and not most
+        nodes[i] = (n, parent, end, out or (parent >= 0 and nodes[parent][3]), inside)
+    tops = [i for i, (n, _, _, out, _) in enumerate(nodes) if not out and n[0].split(".")[0] in CONTENT]
     if not tops:
         total = [0] * len(nodes)
         for i in range(len(nodes) - 1, -1, -1):
-            n, parent, _, out = nodes[i]
+            n, parent, _, out, _ = nodes[i]
             if n[0] == "#" and not out:
                 total[i] = 1 if n[1] else 4  # slots tell more than literals
             elif n[0] != "#" and n[1] & 2:

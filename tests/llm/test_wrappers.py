@@ -63,3 +63,28 @@ def test_generated_pages(spark, small):
         body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S).group(1)
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def of_host(pages):
+    wrapper = W.folded(W.parse(pages[0]))
+    for p in pages[1:]:
+        wrapper = W.merged(wrapper, W.folded(W.parse(p)))
+    return [W.main_text(W.parse(p), wrapper, W.content_nodes(wrapper)) for p in pages]
+
+
+@pytest.mark.parametrize("before, after", [
+    ('<body class="single no-sidebar"><article>', "</article></body>"), ('<html class="has-menu"><body class="right-sidebar"><main>', "</main></body></html>"),
+    ('<body><main class="with-sidebar">', "</main></body>"), ('<body><article class="post comments-open">', "</article></body>"),
+    ('<body><div id="page" class="right-sidebar"><article class="social">', "</article></div></body>"),
+    ('<body class="menu-open"><div class="layout with-sidebar"><div class="post comments-open">', "</div></div></body>"),
+    ('<body><div class="wrap has-header"><div class="post share-enabled">', "</div></div></body>")])
+def test_names_of_outer_parts_do_not_empty_a_page(before, after):
+    inner = "<h1>t{0}</h1><p>a{0} long enough</p><p>b{0} long enough</p><div class='share'>tell</div><div class='comments'><p>c{0}</p></div>"
+    pages = [f"{before}{inner.format(i)}{after}" for i in range(4)]
+    want = [f"t{i}\na{i} long enough\nb{i} long enough" for i in range(4)]
+    assert of_host(pages) == want and [alone(p) for p in pages] == want
+
+
+def test_a_long_discussion_is_left_out():
+    pages = [f"<body><div class=page><div class=post><h1>t{i}</h1><p>p{i}</p></div><div id=comments>" + f"<p>much longer comment {i}</p>" * 9 + "</div></div></body>" for i in range(3)]
+    assert of_host(pages) == [f"t{i}\np{i}" for i in range(3)]
