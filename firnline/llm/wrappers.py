@@ -9,7 +9,7 @@ aligned with the wrapper so far; what only one side has becomes optional, texts
 Pages of a host are first folded together within each task, then partial wrappers are merged in two
 rounds, so no task sees all pages of a host. Wrappers hold structure, not texts. Which nodes are content
 is decided on the wrapper: parts that the page furniture names (menus, notices, adverts, comments and so
-on) are left out, and the article or main element is taken where the host has one, otherwise the smallest
+on) are left out, and the article or main element is taken where the page has one, otherwise the smallest
 part that holds most of the text nodes that vary. Every page is then aligned with its host's wrapper, and its texts at
 content nodes are its main text, block by block.
 """
@@ -186,9 +186,17 @@ def is_furniture(label: str, in_content: bool) -> bool:
     return furniture_tag(label, in_content) or furniture_names(label, in_content)
 
 
-def content_nodes(wrapper: list) -> set[int]:
+class Content(set):
+    """Numbers of content nodes; without has those for pages that meet none of the first."""
+
+    without: set[int] = frozenset()
+
+
+def content_nodes(wrapper: list) -> Content:
     """Preorder numbers of the wrapper's nodes whose texts are content.
 
+    They are the article and main elements, and for pages without any of these (all pages, if the host has
+    none) the part that holds the varying texts outside of them.
     Class and id words do not judge a part that holds more than half of the text that varies. Of the
     discussion's words one does even then, unless the part has the page's main heading.
     """
@@ -223,31 +231,40 @@ def content_nodes(wrapper: list) -> set[int]:
             out = furniture_names(n[0], inside) and not most
         nodes[i] = (n, parent, end, out or (parent >= 0 and nodes[parent][3]), inside)
     tops = [i for i, (n, _, _, out, _) in enumerate(nodes) if not out and n[0].split(".")[0] in CONTENT]
-    if not tops:
-        total = [0] * len(nodes)
-        for i in range(len(nodes) - 1, -1, -1):
-            n, parent, _, out, _ = nodes[i]
-            if n[0] == "#" and not out:
-                total[i] = 1 if n[1] else 4  # slots tell more than literals
-            elif n[0] != "#" and n[1] & 2:
-                total[i] *= 4
-            if parent >= 0:
-                total[parent] += total[i]
-        tops, here = [0], 0
-        while True:  # down as long as one child holds nearly everything
-            below = [i for i in range(here + 1, nodes[here][2]) if nodes[i][1] == here and nodes[i][0][0] != "#" and 5 * total[i] >= 4 * total[here] > 0]
-            if not below or nodes[below[0]][0][0].split(".")[0] not in BLOCKS - {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6"}:
-                break
-            tops, here = [below[0]], below[0]
-    return {j for i in tops for j in range(i, nodes[i][2]) if not nodes[j][3]}
+    within = {j for i in tops for j in range(i, nodes[i][2])}
+    total = [0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        n, parent, _, out, _ = nodes[i]
+        if n[0] == "#" and not out and i not in within:
+            total[i] = 4 if n[1] == 0 else 1  # slots tell more than literals
+        elif n[0] != "#" and n[1] & 2:
+            total[i] *= 4
+        if parent >= 0:
+            total[parent] += total[i]
+    here = 0
+    while True:  # down as long as one child holds nearly everything
+        below = [i for i in range(here + 1, nodes[here][2]) if nodes[i][1] == here and nodes[i][0][0] != "#" and 5 * total[i] >= 4 * total[here] > 0]
+        if not below or nodes[below[0]][0][0].split(".")[0] not in BLOCKS - {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6"}:
+            break
+        here = below[0]
+    other = {j for j in range(here, nodes[here][2]) if not nodes[j][3]}
+    content = Content({j for j in within if not nodes[j][3]} if tops else other)
+    content.without = other if tops else frozenset()
+    return content
 
 
-def main_text(page: list, wrapper: list, content: set[int]) -> str:
+def main_text(page: list, wrapper: list, content: Content, alone: bool = False) -> str:
     """Texts of the page's tree at content nodes of the wrapper, one block a line.
 
-    Siblings are aligned with the wrapper's, which has them all; repeated ones fall on one node.
+    Siblings are aligned with the wrapper's, which has them all; repeated ones fall on one node. A page that
+    has no text there is judged by its own tree.
     """
-    out: list[str] = []
+    sizes: dict[int, int] = {}
+
+    def size(node: list) -> int:
+        if id(node) not in sizes:
+            sizes[id(node)] = 1 if node[0] == "#" else 1 + sum(map(size, node[2]))
+        return sizes[id(node)]
 
     def numbered(node: list, me: int) -> list[tuple[list, int]]:
         kids, at = [], me + 1
@@ -256,38 +273,54 @@ def main_text(page: list, wrapper: list, content: set[int]) -> str:
             at += size(c)
         return kids
 
-    sizes: dict[int, int] = {}
+    def texts(wanted: set[int]) -> tuple[list[str], bool]:
+        out: list[str] = []
+        met = False
+
+        def walk(node: list, frame: list, me: int) -> None:
+            nonlocal met
+            met = met or (me in wanted)
+            kids = numbered(frame, me)
+            place = 0
+            for c in node[1]:
+                # on from the last place, else back to the start of a repeated group
+                hit = next((k for k in (*range(place, len(kids)), *range(place)) if kids[k][0][0] == c[0]), None)
+                if hit is None:
+                    if c[0] != "#" and not is_furniture(c[0], me in wanted) and me in wanted:
+                        walk(c, folded(c), -10**9)
+                    continue
+                place = hit
+                if c[0] != "#":
+                    walk(c, *kids[hit])
+                elif kids[hit][1] in wanted or me < -10**8:
+                    out.append(c[1])
+
+        walk(page, wrapper, 0)
+        return out, met
+
+    found, met = texts(content)
+    if not met and content.without:
+        found, _ = texts(content.without)
+    if found or alone or not page[1]:
+        return "\n".join(found)
+    own = folded(page)
+    return main_text(page, own, content_nodes(own), True)
 
-    def size(node: list) -> int:
-        if id(node) not in sizes:
-            sizes[id(node)] = 1 if node[0] == "#" else 1 + sum(map(size, node[2]))
-        return sizes[id(node)]
-
-    def walk(node: list, frame: list, me: int) -> None:
-        kids = numbered(frame, me)
-        place = 0
-        for c in node[1]:
-            # on from the last place, else back to the start of a repeated group
-            hit = next((k for k in (*range(place, len(kids)), *range(place)) if kids[k][0][0] == c[0]), None)
-            if hit is None:
-                if c[0] != "#" and not is_furniture(c[0], me in content) and me in content:
-                    walk(c, folded(c), -10**9)
-                continue
-            place = hit
-            if c[0] != "#":
-                walk(c, *kids[hit])
-            elif kids[hit][1] in content or me < -10**8:
-                out.append(c[1])
 
-    walk(page, wrapper, 0)
-    return "\n".join(out)
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+#: Beginnings of the tags that tell templates apart, without their attributes other than class.
+PARTS = r"(?is)<((?:body|main|article|section|div|table|header|footer|nav|aside)\b)(?:[^>]*?\sclass\s*=\s*[\"']?([^\"'>]*))?"
 
 
-def host_of(url):
-    return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
+def host_of(url, page):
+    """Host of the URL; pages without one go by the tags and classes they use, as " " and a hash."""
+    host = F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
+    page = F.coalesce(page, F.lit(""))
+    parts = F.zip_with(F.regexp_extract_all(page, F.lit(PARTS), 1), F.regexp_extract_all(page, F.lit(PARTS), 2), lambda t, c: F.concat_ws(".", t, c))
+    kind = F.array_join(F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.regexp_replace(F.lower(x), "[^a-z.]+", " ")))), "|")
+    return F.when(host != "", host).otherwise(F.concat(F.lit(" "), F.md5(kind)))
 
 
 def infer(pages: DataFrame) -> DataFrame:
@@ -314,17 +347,17 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every page; NULL or empty html gives an empty text, a missing host is a host of its own.
+    """page_id, url, text of every page; NULL or empty html gives an empty text, pages without a host are grouped by structure.
 
     Repeated rows stay; other columns are ignored.
     """
     ship(pages.sparkSession)
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    rows = pages.select("page_id", "url", host_of(F.col("url"), F.col("html")).alias("host"), "html")
     found = stored(infer(rows), "wrappers")
     kind = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, tuple[list, set[int]]] = {}
+        ready: dict[str, tuple[list, Content]] = {}
         for batch in batches:
             out = []
             for page, raw in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):

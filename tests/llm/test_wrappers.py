@@ -88,3 +88,22 @@ def test_names_of_outer_parts_do_not_empty_a_page(before, after):
 def test_a_long_discussion_is_left_out():
     pages = [f"<body><div class=page><div class=post><h1>t{i}</h1><p>p{i}</p></div><div id=comments>" + f"<p>much longer comment {i}</p>" * 9 + "</div></div></body>" for i in range(3)]
     assert of_host(pages) == [f"t{i}\np{i}" for i in range(3)]
+
+
+ARTICLE = "<body><div class=top>Site</div><article><h1>t{0}</h1><p>p{0}</p></article></body>"
+OLDER = "<body><div class=top>Site</div><div class=post><h2>t{0}</h2><div class=text>p{0}<p>q{0}</p></div></div></body>"
+
+
+def test_host_of_mixed_templates():
+    pages = [(ARTICLE if i % 2 else OLDER).format(i) for i in range(6)]
+    for i, text in enumerate(of_host(pages)):
+        assert text.endswith(f"t{i}\np{i}" if i % 2 else f"t{i}\np{i}\nq{i}")
+
+
+def test_pages_without_a_host_are_grouped_by_structure(spark):
+    rows = [(i, (None, "/x/y", "nonsense")[i % 3], (ARTICLE if i in (3, 7, 8) else OLDER).format(i)) for i in range(12)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in W.main_texts(frame).collect()}
+    for i in range(12):
+        assert got[i].endswith(f"t{i}\np{i}" if i in (3, 7, 8) else f"t{i}\np{i}\nq{i}")
+    assert frame.select(W.host_of(frame.url, frame.html)).distinct().count() == 2
