@@ -20,7 +20,9 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -106,8 +108,9 @@ def folded(node: list) -> list:
     return [node[0], 0, fold_list([folded(c) for c in node[1]]), sum(len(c[1]) for c in node[1] if c[0] == "#")]
 
 
-def fold_list(items: list) -> list:
+def fold_list(items: list, join: Callable[[list, list], list] | None = None) -> list:
     """Neighbouring groups of up to four siblings with equal labels become one repeated group."""
+    join = join or repeated_node
     for size in range(1, 5):
         out: list = []
         i = 0
@@ -115,7 +118,7 @@ def fold_list(items: list) -> list:
             group = items[i:i + size]
             before = out[-size:]
             if len(group) == size == len(before) and [x[0] for x in group] == [x[0] for x in before] and (size > 1 or group[0][0] != "#"):
-                out[-size:] = [merged(a, b, True) for a, b in zip(before, group, strict=True)]
+                out[-size:] = [join(a, b) for a, b in zip(before, group, strict=True)]
                 i += size
             else:
                 out.append(items[i])
@@ -124,18 +127,28 @@ def fold_list(items: list) -> list:
     return items
 
 
-def pairs(left: list, right: list) -> list[tuple[int, int]]:
-    """Alignment of two sibling lists by label: a longest common subsequence (first matches for very long lists)."""
-    a, b = [x[0] for x in left], [x[0] for x in right]
-    if a == b:
-        return [(i, i) for i in range(len(a))]
-    if len(a) * len(b) > 250_000:
-        out, j = [], 0
-        for i, x in enumerate(a):
-            if x in b[j:j + 500]:
-                j = b.index(x, j) + 1
-                out.append((i, j - 1))
-        return out
+def lengths(a: list[str], b: list[str]) -> list[int]:
+    """Length of the longest common subsequence of a and each beginning of b; a bit per entry of b."""
+    raw = {x: bytearray(len(b) // 8 + 1) for x in set(a)}
+    for j, y in enumerate(b):
+        if y in raw:
+            raw[y][j >> 3] |= 1 << (j & 7)
+    places = {x: int.from_bytes(r, "little") for x, r in raw.items()}
+    every = (1 << len(b)) - 1
+    free = every
+    for x in a:
+        hits = free & places[x]
+        free = ((free + hits) | (free - hits)) & every
+    return [0, *accumulate(1 - int(bit) for bit in reversed(f"{free:0{len(b)}b}"))] if b else [0]
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence; long lists are halved where the lengths of both sides add up best, so memory stays linear."""
+    if len(a) > 1 and len(a) * len(b) > 250_000:
+        half = len(a) // 2
+        before, after = lengths(a[:half], b), lengths(a[:half - 1:-1], b[::-1])[::-1]
+        cut = max(range(len(b) + 1), key=lambda j: before[j] + after[j])
+        return common(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in common(a[half:], b[cut:])]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -152,6 +165,41 @@ def pairs(left: list, right: list) -> list[tuple[int, int]]:
     return out
 
 
+def pairs(left: list, right: list) -> list[tuple[int, int]]:
+    """Alignment of two sibling lists by label: a longest common subsequence."""
+    a, b = [x[0] for x in left], [x[0] for x in right]
+    return [(i, i) for i in range(len(a))] if a == b else common(a, b)
+
+
+def places(children: list, kids: list) -> list[int | None]:
+    """Place among kids (siblings of a wrapper) of each of a page's children, None for labels that kids lack.
+
+    The children are folded like the wrapper and aligned with it; what is left goes on from the last place,
+    or back to the start of a repeated group.
+    """
+    out: list[int | None] = [None] * len(children)
+
+    def together(a: list, b: list) -> list:
+        a[1].extend(b[1])
+        return a
+
+    groups = fold_list([[c[0], [i]] for i, c in enumerate(children)], together)
+    for x, y in pairs(groups, kids):
+        for i in groups[x][1]:
+            out[i] = y
+    by_label: dict[str, list[int]] = {}
+    for k, n in enumerate(kids):
+        by_label.setdefault(n[0], []).append(k)
+    last = 0
+    for i, c in enumerate(children):
+        if out[i] is None and c[0] in by_label:
+            same = by_label[c[0]]
+            at = bisect_left(same, last)
+            out[i] = same[at] if at < len(same) else same[0]
+        last = last if out[i] is None else out[i]
+    return out
+
+
 def merged(left: list, right: list, repeated: bool = False, one_page: bool = False) -> list:
     """Wrapper that fits whatever fits left or right; both have the same label."""
     one_page = one_page or repeated
@@ -168,6 +216,10 @@ def merged(left: list, right: list, repeated: bool = False, one_page: bool = Fal
     return [left[0], flags, fold_list(out), left[3] + right[3]]
 
 
+def repeated_node(left: list, right: list) -> list:
+    return merged(left, right, True)
+
+
 def optional(node: list) -> list:
     return node if node[0] == "#" else [node[0], node[1] | 1, *node[2:]]
 
@@ -256,7 +308,8 @@ def content_nodes(wrapper: list) -> Content:
 def main_text(page: list, wrapper: list, content: Content, alone: bool = False) -> str:
     """Texts of the page's tree at content nodes of the wrapper, one block a line.
 
-    Siblings are aligned with the wrapper's, which has them all; repeated ones fall on one node. A page that
+    Siblings are aligned with the wrapper's; repeated ones fall on one node, and what a content node lacks is
+    kept. A page that
     has no text there is judged by its own tree.
     """
     sizes: dict[int, int] = {}
@@ -277,23 +330,25 @@ def main_text(page: list, wrapper: list, content: Content, alone: bool = False)
         out: list[str] = []
         met = False
 
+        def rest(node: list) -> None:
+            for c in node[1]:
+                if c[0] == "#":
+                    out.append(c[1])
+                elif not is_furniture(c[0], True):
+                    rest(c)
+
         def walk(node: list, frame: list, me: int) -> None:
             nonlocal met
             met = met or (me in wanted)
             kids = numbered(frame, me)
-            place = 0
-            for c in node[1]:
-                # on from the last place, else back to the start of a repeated group
-                hit = next((k for k in (*range(place, len(kids)), *range(place)) if kids[k][0][0] == c[0]), None)
-                if hit is None:
-                    if c[0] != "#" and not is_furniture(c[0], me in wanted) and me in wanted:
-                        walk(c, folded(c), -10**9)
-                    continue
-                place = hit
-                if c[0] != "#":
-                    walk(c, *kids[hit])
-                elif kids[hit][1] in wanted or me < -10**8:
-                    out.append(c[1])
+            for c, place in zip(node[1], places(node[1], frame[2]), strict=True):
+                if c[0] == "#":
+                    if me in wanted:  # whether the wrapper has a text here or not
+                        out.append(c[1])
+                elif place is not None:
+                    walk(c, *kids[place])
+                elif me in wanted and not is_furniture(c[0], True):
+                    rest(c)
 
         walk(page, wrapper, 0)
         return out, met

@@ -1,4 +1,6 @@
 import html
+import itertools
+import random
 import re
 
 import pytest
@@ -107,3 +109,26 @@ def test_pages_without_a_host_are_grouped_by_structure(spark):
     for i in range(12):
         assert got[i].endswith(f"t{i}\np{i}" if i in (3, 7, 8) else f"t{i}\np{i}\nq{i}")
     assert frame.select(W.host_of(frame.url, frame.html)).distinct().count() == 2
+
+
+@pytest.mark.parametrize("order", list(itertools.permutations(range(3))))
+def test_text_without_a_place_in_the_wrapper_stays(order):
+    inner = ["<div>c{0}</div>", "<h2>h{0}</h2><p>p{0}</p><div>b{0}</div>", "<div><p>a{0}</p></div><h2>h{0}</h2><p>p{0}</p>"]
+    want = ["c{0}", "h{0}\np{0}\nb{0}", "a{0}\nh{0}\np{0}"]
+    pages = [f"<article>{inner[k].format(i)}</article>" for i, k in enumerate(order)]
+    assert of_host(pages) == [want[k].format(i) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("n, m", [(700, 600), (1, 260_000), (3, 100_000), (900, 900)])
+def test_long_lists_are_aligned_exactly(n, m):
+    rnd = random.Random(n)
+    a, b = ([rnd.choice("pqrstu") for _ in range(k)] for k in (n, m))
+    got = W.pairs([[x] for x in a], [[x] for x in b])
+    assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
+    row = [0] * (m + 1)
+    for x in a:
+        before = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    assert len(got) == row[-1]
