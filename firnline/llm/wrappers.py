@@ -10,7 +10,7 @@ Pages of a host are first folded together within each task, then partial wrapper
 rounds, so no task sees all pages of a host. Wrappers hold structure, not texts. Which nodes are content
 is decided on the wrapper: parts that the page furniture names (menus, notices, adverts, comments and so
 on) are left out, and the article or main element is taken where the page has one, otherwise the smallest
-part that holds most of the text nodes that vary. Every page is then aligned with its host's wrapper, and its texts at
+part that holds all texts that vary. Every page is then aligned with its host's wrapper, and its texts at
 content nodes are its main text, block by block.
 """
 
@@ -49,6 +49,8 @@ CONTENT = frozenset(("article", "main"))
 #: Elements that class and id words never judge: they stand for the page or its text.
 UNJUDGED = frozenset(("", "html", "body", "main", "article"))
 DISCUSSION = frozenset("comment comments discussion replies disqus".split())
+#: Elements that are pieces of a text, never the part that holds it.
+NARROW = frozenset("# p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DEPTH = 150
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -248,14 +250,22 @@ def content_nodes(wrapper: list) -> Content:
     """Preorder numbers of the wrapper's nodes whose texts are content.
 
     They are the article and main elements, and for pages without any of these (all pages, if the host has
-    none) the part that holds the varying texts outside of them.
-    Class and id words do not judge a part that holds more than half of the text that varies. Of the
+    none) the smallest part that holds all varying texts outside of them.
+    A header with a heading that varies belongs to the text. Class and id words do not judge a part that holds more than half of the text that varies. Of the
     discussion's words one does even then, unless the part has the page's main heading.
     """
     nodes: list[tuple[list, int, int, bool, bool]] = []  # node, parent, end of its part, left out, below a content element
 
+    def titled(node: list, heading: bool = False) -> bool:
+        """Whether a heading in it varies: then it heads the text, not the site."""
+        if node[0] == "#":
+            return heading and node[1] >= 0
+        return any(titled(c, heading or node[0].split(".")[0] in ("h1", "h2", "h3")) for c in node[2])
+
     def number(node: list, parent: int, out: bool, inside: bool) -> None:
         me = len(nodes)
+        tag, *names = node[0].split(".")
+        inside = inside or ((tag == "header" or bool(HEADER_NAMES.intersection(names))) and titled(node))
         out = out or (node[0] != "#" and furniture_tag(node[0], inside))
         nodes.append((node, parent, 0, out, inside))
         for c in node[2] if node[0] != "#" else ():
@@ -284,21 +294,11 @@ def content_nodes(wrapper: list) -> Content:
         nodes[i] = (n, parent, end, out or (parent >= 0 and nodes[parent][3]), inside)
     tops = [i for i, (n, _, _, out, _) in enumerate(nodes) if not out and n[0].split(".")[0] in CONTENT]
     within = {j for i in tops for j in range(i, nodes[i][2])}
-    total = [0] * len(nodes)
-    for i in range(len(nodes) - 1, -1, -1):
-        n, parent, _, out, _ = nodes[i]
-        if n[0] == "#" and not out and i not in within:
-            total[i] = 4 if n[1] == 0 else 1  # slots tell more than literals
-        elif n[0] != "#" and n[1] & 2:
-            total[i] *= 4
-        if parent >= 0:
-            total[parent] += total[i]
-    here = 0
-    while True:  # down as long as one child holds nearly everything
-        below = [i for i in range(here + 1, nodes[here][2]) if nodes[i][1] == here and nodes[i][0][0] != "#" and 5 * total[i] >= 4 * total[here] > 0]
-        if not below or nodes[below[0]][0][0].split(".")[0] not in BLOCKS - {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6"}:
-            break
-        here = below[0]
+    texts = [i for i, (n, _, _, out, _) in enumerate(nodes) if n[0] == "#" and not out and i not in within]
+    texts = [i for i in texts if nodes[i][0][1] >= 0] or texts
+    here = texts[0] if texts else 0
+    while here and (nodes[here][2] <= texts[-1] or nodes[here][0][0].split(".")[0] in NARROW):  # up to what holds them all
+        here = nodes[here][1]
     other = {j for j in range(here, nodes[here][2]) if not nodes[j][3]}
     content = Content({j for j in within if not nodes[j][3]} if tops else other)
     content.without = other if tops else frozenset()

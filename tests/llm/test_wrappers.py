@@ -132,3 +132,15 @@ def test_long_lists_are_aligned_exactly(n, m):
         for j, y in enumerate(b):
             row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
     assert len(got) == row[-1]
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<h1>t{0}</h1>", ""), ("<div class=lead><p>lead{0}</p></div>", "<p>last{0}</p>"), ("<header class=entry-header><h1>t{0}</h1></header>", "<div>end{0}</div>"),
+    ("<div class=entry-header><h2>t{0}</h2></div>", "")])
+def test_headline_and_lead_outside_the_body_part_stay(before, after):
+    page = ("<body><header><h1>Site</h1></header><nav>n</nav><div class=top>Same</div><div class=wrap>" + before + "<div class=body>{1}</div>" + after
+            + "</div><div class=footer>f</div></body>")
+    pages = [page.format(i, "".join(f"<p>p{i}{k}</p>" for k in range(3 + i))) for i in range(5)]
+    for i, text in enumerate(of_host(pages)):
+        want = [before.format(i), *[f"p{i}{k}" for k in range(3 + i)], after.format(i)]
+        assert text.split("\n") == [w for w in (re.sub("<[^>]*>", "", x) for x in want) if w]
