@@ -15,6 +15,10 @@ from firnline.llm.texts import table
 from firnline.session import stored
 
 
+#: Words of a shingle of the second stage; the thin query op7 has its own length.
+SHINGLE = 5
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without their failing lines."""
     return line_rules.kept_documents(docs)
@@ -22,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies."""
-    return circulant.kept_documents(docs)
+    return circulant.kept_documents(docs, SHINGLE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ hot keys.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from firnline.llm.components import components
 from firnline.llm.texts import joined, mixed, new_name, ship, text_batches
 from firnline.session import stored
 
+#: Words of a shingle, unless a caller wants another length.
 SHINGLE = 4
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
@@ -57,13 +59,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shingler:
-    """Distinct 4-word shingles of texts as 64-bit hashes."""
+    """Distinct shingles of some words of texts as 64-bit hashes."""
 
-    def __init__(self) -> None:
+    def __init__(self, shingle: int = SHINGLE) -> None:
+        self.shingle = shingle
+        odds = [0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93]
+        more = mixed(np.arange(4, max(shingle, 4), dtype=np.uint64)) | np.uint64(1)
+        self.odds = np.concatenate([np.array(odds, np.uint64), more])[:shingle - 1]
         self.up, self.down = _powers(1 << 16)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        """One sorted array per text; texts with one to three words give one element, others without words none."""
+        """One sorted array per text; texts with fewer words than a shingle give one element, those without words none."""
         raw, starts = joined([t + b"\n" for t in texts])
         if len(raw) + 1 > len(self.up):
             self.up, self.down = _powers(2 * len(raw))
@@ -76,13 +82,13 @@ class Shingler:
         words = mixed((sums[end] - sums[first]) * self.down[first] + (end - first).astype(np.uint64))
         bounds = np.searchsorted(first, starts)
         window = words * np.uint64(3)
-        for k, odd in enumerate((0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93), 1):
-            window[:-k] += words[k:] * np.uint64(odd)
+        for k, odd in enumerate(self.odds, 1):
+            window[:-k] += words[k:] * odd
         window = mixed(window)
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a >= SHINGLE:
-                out.append(np.unique(window[a:b - SHINGLE + 1]))
+            if b - a >= self.shingle:
+                out.append(np.unique(window[a:b - self.shingle + 1]))
             elif b > a:
                 value = np.array([b - a], np.uint64)
                 for w in words[a:b]:
@@ -121,9 +127,9 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def describe(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, n_shingles, set_key, bands, signature (the low byte of each coordinate)."""
-    shingler = Shingler()
+    shingler = Shingler(shingle)
     for batch in batches:
         for first, texts in text_batches(batch, limit=1 << 20):
             sets = shingler.sets(texts)
@@ -140,8 +146,8 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())], ["doc_id", "n", "set_key", "bands", "signature"])
 
 
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
+def full_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler(shingle)
     for batch in batches:
         for first, texts in text_batches(batch, limit=1 << 20):
             sets = [s.tobytes() for s in shingler.sets(texts)]
@@ -169,7 +175,7 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Links among pairs(a, b) of class ids."""
     kind = "a long, b long"
     marks = classes.select("id", "signature")
@@ -177,7 +183,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         .join(marks.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b").select("a", "b", "x", "y")
     close = stored(seen.mapInArrow(alike, kind), "near-close")
     ends = stored(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ends")
-    items = stored(docs.join(ends, "doc_id", "left_semi").mapInArrow(full_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "near-sets")
+    items = stored(docs.join(ends, "doc_id", "left_semi").mapInArrow(partial(full_sets, shingle=shingle), "doc_id long, items binary").dropDuplicates(["doc_id"]), "near-sets")
     whole = close.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a") \
         .join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
     return stored(whole.mapInArrow(linked, kind), "near-links")
@@ -216,7 +222,7 @@ def compare_block(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _star_links(star: DataFrame, docs: DataFrame) -> DataFrame:
+def _star_links(star: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Links between members of different components of each star(b, id, top)."""
     own = star.where("id = b").select("b", F.col("top").alias("own"))
     marked = stored(star.join(own, "b").withColumn("outlier", F.col("top") != F.col("own")), "near-marked")
@@ -224,7 +230,7 @@ def _star_links(star: DataFrame, docs: DataFrame) -> DataFrame:
     counts = counts.select("b", F.ceil(F.col("k") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK).cast("int").alias("columns"))
     placed = stored(marked.join(stored(counts, "near-counts"), "b"), "near-placed")
     ends = stored(placed.select(F.col("id").alias("doc_id")).distinct(), "near-ends")
-    items = stored(docs.join(ends, "doc_id", "left_semi").mapInArrow(full_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "near-sets")
+    items = stored(docs.join(ends, "doc_id", "left_semi").mapInArrow(partial(full_sets, shingle=shingle), "doc_id long, items binary").dropDuplicates(["doc_id"]), "near-sets")
     whole = placed.join(items.withColumnRenamed("doc_id", "id"), "id")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -234,7 +240,7 @@ def _star_links(star: DataFrame, docs: DataFrame) -> DataFrame:
     return outliers.unionByName(members).groupBy("b", "i", "j").applyInArrow(compare_block, "a long, b long")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
     NULL, empty and blank texts have no shingles and are linked with nothing. Rows of one doc_id are one
@@ -243,7 +249,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = stored(texts.mapInArrow(describe, "doc_id long, n long, set_key binary, bands array<long>, signature binary"), "near-marks")
+    marked = stored(texts.mapInArrow(partial(describe, shingle=shingle), "doc_id long, n long, set_key binary, bands array<long>, signature binary"), "near-marks")
     named = marked.where("doc_id is not null and n > 0")
     classes = stored(named.groupBy("set_key").agg(F.min_by(F.struct("n", "bands", "signature"), "doc_id").alias("m"), F.min("doc_id").alias("id")).select("set_key", "id", "m.*"), "near-classes")
     entries = stored(classes.select("id", "n", F.explode("bands").alias("band")), "near-bands")
@@ -252,14 +258,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     leaders = stored(leaders.select("band", F.col("m.id").alias("b"), F.col("m.n").alias("m")), "near-leaders")
     first = entries.join(leaders, "band").where((F.col("id") != F.col("b")) & fits(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b").distinct()
     known = texts.where("doc_id is not null")
-    links = _verified(stored(first, "near-pairs"), classes, known)
+    links = _verified(stored(first, "near-pairs"), classes, known, shingle)
     tops = components(links)
     # second round: buckets whose members the first has left in different components
     crowded = entries.join(leaders, "band").join(tops.select(F.col("node").alias("id"), "component"), "id", "left")
     crowded = stored(crowded.select("band", "b", "id", F.coalesce("component", "id").alias("top")), "near-crowded")
     split = crowded.groupBy("band").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("band")
     star = stored(crowded.join(stored(split, "near-split"), "band", "left_semi").select("b", "id", "top").distinct(), "near-stars")
-    more = stored(_star_links(star, known), "near-links")
+    more = stored(_star_links(star, known, shingle), "near-links")
     tops = components(links.union(more))
     groups = classes.join(tops.select(F.col("node").alias("id"), "component"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = marked.join(stored(groups, "near-groups"), "set_key", "left")
@@ -267,8 +273,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Documents of which no other one of their group has a smaller id; all columns as before."""
-    gone = stored(near_groups(docs).where("not kept").select(F.col("doc_id").alias("gone")), "near-gone")
+    gone = stored(near_groups(docs, shingle).where("not kept").select(F.col("doc_id").alias("gone")), "near-gone")
     name = new_name(docs, "gone")
     return docs.join(gone.withColumnRenamed("gone", name).distinct(), docs["doc_id"] == F.col(name), "left_anti")

@@ -83,3 +83,21 @@ def test_signatures_estimate_similarity():
         x, y = C.signatures([np.unique(a), np.unique(b)])
         assert abs((x == y).mean() - share) < 0.12
     assert len(set(C.second_permutation(np.arange(1 << 16, dtype=np.uint32)).tolist())) == 1 << 16
+
+
+@pytest.mark.parametrize("shingle", [2, 4, 5, 7])
+def test_length_of_shingles(shingle):
+    texts = ["a b c d e f g h", "A b\tc d e f g x", "a b c", "a b c d", "", "a b c d e f g h a b c d e f g h"]
+    sets = C.Shingler(shingle).sets([t.encode() for t in texts])
+    for t, got in zip(texts, sets, strict=True):
+        w = t.lower().split()
+        want = {tuple(w[i:i + shingle]) for i in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set())
+        assert len(got) == len(want)
+    assert len(np.intersect1d(sets[0], sets[1])) == 8 - shingle and len(np.intersect1d(sets[0], sets[5])) == 8 - shingle + 1
+
+
+def test_a_changed_word_in_43_links_shingles_of_four_words_only(spark):
+    words = [f"w{i}" for i in range(43)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in C.near_groups(docs).collect()} == {1: 1, 2: 1}
+    assert {r.doc_id: r.component_id for r in C.near_groups(docs, 5).collect()} == {1: 1, 2: 2}

@@ -63,3 +63,9 @@ def test_odd_rows_through_all_stages(spark):
         assert docs.columns == odd.documents(spark).columns, name
     ends = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert {r.doc_id for r in ends} <= {16, 18}
+
+
+def test_near_duplicates_go_by_five_words(spark):
+    words = [f"w{i}" for i in range(43)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]])), (3, " ".join(words).upper())], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 2}
