@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, circulant, cross_entropy, line_rules, mixing, suffix_dedup, wrappers
+from firnline.llm import bit_packing, bit_sliced, blob_ledger, bpe_prefix, circulant, cross_entropy, digest_cache, filter_audit, line_rules, mixing, \
+    periodic_runs, suffix_dedup, wrappers
 from firnline.llm.texts import table
 
 
@@ -62,6 +63,18 @@ def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_cache.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_rules": op2_line_rules,
@@ -73,6 +86,9 @@ QUERIES = {
     "op8_bit_packing": op8_bit_packing,
     "op9_wrappers": op9_wrappers,
     "op10_bit_sliced_top_k": op10_bit_sliced_top_k,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_digest_cache": op12_digest_cache,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
@@ -80,4 +96,5 @@ ORACLE = {
     "op2_line_rules": line_rules.oracle(),
     "op4_blob_ledger": blob_ledger.oracle(),
     "op10_bit_sliced_top_k": bit_sliced.oracle(),
+    "op11_filter_audit": filter_audit.oracle(),
 }

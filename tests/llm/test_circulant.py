@@ -11,13 +11,13 @@ from firnline.llm.components import components
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = [z for z in re.split(r"[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if z]
-    return {tuple(w[i:i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+def brute(rows, n=4):
+    sets = [(i, shingles(t, n)) for i, t in rows if i is not None]
     root = {i: i for i, _ in sets}
 
     def find(x):

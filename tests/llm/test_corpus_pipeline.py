@@ -31,7 +31,7 @@ def by_hand(rows):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     kept = con.execute(line_rules.oracle(columns="doc_id, cleaned_text, source, kept", keep=", source")).fetchall()
     kept = [r[:3] for r in kept if r[3]]
-    groups = brute([r[:2] for r in kept])
+    groups = brute([r[:2] for r in kept], corpus_pipeline.SHINGLE)
     kept = [(i, clean(t), s) for i, t, s in kept if groups[i][1] == i]
     con.execute("DELETE FROM documents")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", kept)

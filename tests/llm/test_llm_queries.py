@@ -16,6 +16,9 @@ COLUMNS = {
     "op8_bit_packing": "doc_id start n_tokens ids_crc32",
     "op9_wrappers": "page_id url text n_chars",
     "op10_bit_sliced_top_k": "query_id rank vec_id score",
+    "op11_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12_digest_cache": "doc_id n_bytes n_tokens over_limit",
+    "op13_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 NATIVE = ["op1_pareto_mix", "op2_line_rules", "op4_blob_ledger"]
 
