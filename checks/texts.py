@@ -106,6 +106,7 @@ SQL: dict[str, str] = {
     "scan_trimmed": "SELECT nr, station_code, HS FROM v_measurements",
     "scan_history": "SELECT * FROM v_hist_weather",
     "ingest_json": "SELECT nr, station_code, measure_date, HS, TA_30MIN_MEAN FROM v_measurements",
+    "ingest_json_array": "SELECT nr, station_code, measure_date, HS, TA_30MIN_MEAN FROM v_measurements",
     "latest_date": "SELECT max(date) AS latest_date FROM v_measurements",
     "append_batch": "SELECT nr, station_code, date, HS FROM v_measurements",
     "rewrite_clean": DEDUPE,

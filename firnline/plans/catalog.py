@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firnline.functions import dates, labels, places
@@ -99,6 +99,23 @@ def ingest_json(spark, d):
     return readers.clear_nan(spark.read.schema(rows.schema).json(path))
 
 
+def _as_arrays(rows: DataFrame, path: str, file: str, order: str) -> None:
+    """One file for each value of file, which holds one array of the records of that value."""
+    along = Window.partitionBy(file).orderBy(order)
+    lines = rows.select(file, F.concat(
+        F.when(F.row_number().over(along) == 1, "[").otherwise(""), F.to_json(F.struct(*[c for c in rows.columns if c != file])),
+        F.when(F.lead(order).over(along).isNull(), "]").otherwise(",")).alias("value"))
+    lines.write.partitionBy(file).text(path)
+
+
+@query
+def ingest_json_array(spark, d):
+    """Landed arrays, one file a day, each read by as many tasks as it has byte ranges."""
+    rows = A.measurements(spark, d).select("nr", "station_code", "measure_date", "HS", "TA_30MIN_MEAN", "date")
+    path = _stored(rows, "landed-arrays", lambda r, p: _as_arrays(r, p, "date", "nr"))
+    return readers.read_json_array(spark, path, rows.drop("date").schema)
+
+
 @query
 def freshness(spark, d):
     return readers.freshness(A.table(spark, d, "events"))

@@ -55,7 +55,7 @@ def score_live(model: RiskModel, live_rows: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, landed: str, table: str, schema, batch_no: int) -> None:
     """Stage 1: landed JSON arrays are appended with their arrival order."""
-    batch = with_sequence(read_json_array(spark, landed, schema), batch_no)
+    batch = with_sequence(read_json_array(spark, landed, schema, position=True), batch_no)
     append_batch(batch.withColumn("date", iso_day(F.col("measure_date"))), table, ["date"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from firnline.functions.labels import trimmed
 from firnline.functions.numbers import nan_to_null
+from firnline.sources.json_arrays import read_records
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", quote: str = '"') -> DataFrame:
@@ -27,9 +28,9 @@ def read_csv_named(spark: SparkSession, path: str, schema: T.StructType, names:
     return read_csv(spark, path, asked).toDF(*[f.name for f in ours])
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Landed files that each hold one array of records."""
-    return clear_nan(spark.read.schema(schema).json(path, multiLine=True))
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType, position: bool = False) -> DataFrame:
+    """Landed files that each hold one array of records; with position also file and nr, the order of arrival in a batch."""
+    return clear_nan(read_records(spark, path, schema, position))
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 def with_sequence(batch: DataFrame, batch_no: int) -> DataFrame:
     """Add the arrival order: batch number, then position inside the batch.
 
-    Needs a frame read straight from files, whose position follows the rows of
-    each file; across the files of one batch the file name decides.
+    A frame read with positions keeps its columns file and nr. Any other must be read
+    straight from files, so that positions follow the rows of each file; across the files of one batch
+    the file name decides.
     """
+    if {"file", "nr"} <= set(batch.columns):
+        return batch.select(F.lit(batch_no).cast("bigint").alias("batch"), "*")
     return batch.select(
         F.lit(batch_no).cast("bigint").alias("batch"),
         F.col("_metadata.file_name").alias("file"),

@@ -41,7 +41,7 @@ def test_append_keeps_arrival_order(spark, tmp_path):
     for number, value in enumerate(["1.0", "2.0"]):
         (tmp_path / f"land{number}").mkdir()
         (tmp_path / f"land{number}" / "a.json").write_text(f'[{{"station_code": "A", "measure_date": "2024-01-01", "HS": {value}}}]')
-        batch = sinks.with_sequence(readers.read_json_array(spark, str(tmp_path / f"land{number}"), schemas.SNOW_RECORD), number)
+        batch = sinks.with_sequence(readers.read_json_array(spark, str(tmp_path / f"land{number}"), schemas.SNOW_RECORD, position=True), number)
         sinks.append_batch(batch, str(tmp_path / "table"), ["measure_date"])
     assert [r.HS for r in spark.read.parquet(str(tmp_path / "table")).orderBy("batch", "file", "nr").collect()] == [1.0, 2.0]
 
