@@ -106,6 +106,16 @@ SQL: dict[str, str] = {
     "scan_trimmed": "SELECT nr, station_code, HS FROM v_measurements",
     "scan_history": "SELECT * FROM v_hist_weather",
     "ingest_json": "SELECT nr, station_code, measure_date, HS, TA_30MIN_MEAN FROM v_measurements",
+    "load_raw_accidents": """SELECT acc_id AS avalanche_id, CAST(date AS VARCHAR) AS date, '0' AS date_quality, CAST(year(date) AS VARCHAR) AS hydrological_year, canton,
+ municipality, start_zone_coordinates_latitude, start_zone_coordinates_longitude, '0' AS coordinates_quality, start_zone_elevation,
+ CAST(NULL AS VARCHAR) AS start_zone_slope_aspect, CAST(NULL AS DOUBLE) AS start_zone_inclination, CAST(NULL AS VARCHAR) AS forecasted_dangerlevel_rating1,
+ CAST(NULL AS VARCHAR) AS forecasted_dangerlevel_rating2, CAST(NULL AS VARCHAR) AS forecasted_most_dangerous_aspect_and_elevation,
+ number_dead, number_caught, number_fully_buried, 'tour' AS activity FROM v_accidents""",
+    "load_weather_history": """SELECT measure_date, imis_latitude, imis_longitude, air_temp_day_mean, wind_speed_day_mean, wind_speed_day_max,
+ snow_surf_temp_day_mean, snow_ground_temp_day_mean FROM v_hist_weather""",
+    "freshness_landed": "SELECT concat(CAST(max(date) AS VARCHAR), '-12:00') AS last_update FROM v_measurements",
+    "future_marker": """SELECT CAST(y AS INT) AS first_year, 'No future data available' AS message FROM (SELECT unnest([2023, 2030]) AS y) y0
+WHERE NOT EXISTS (SELECT 1 FROM v_scored WHERE year(measure_date) = y + 1 AND month(measure_date) = 1)""",
     "ingest_json_array": "SELECT nr, station_code, measure_date, HS, TA_30MIN_MEAN FROM v_measurements",
     "latest_date": "SELECT max(date) AS latest_date FROM v_measurements",
     "append_batch": "SELECT nr, station_code, date, HS FROM v_measurements",
@@ -282,6 +292,7 @@ WHERE canton_code IN ('FL', 'GL', 'GR', 'SG') AND measure_date BETWEEN DATE '202
     "stream_daily": ROLLUP,
     "stream_score": "SELECT station_code, measure_date, k_cluster, round(PCA1, 8) AS PCA1, round(PCA2, 8) AS PCA2 FROM v_scored",
 }
+SQL["load_snow_history"] = SQL["snow_enriched"]
 for _m, _column in MEASURE.items():
     SQL[f"latest_map_{_m}"] = (f"SELECT code, round(lat, 8) AS lat, round(lon, 8) AS lon, round({_column}, 8) AS z FROM v_live"
                                " WHERE measure_date = (SELECT max(measure_date) FROM v_live)")

@@ -37,7 +37,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stations(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "supplier").selectExpr(
+    return as_stations(table(spark, folder, "supplier"))
+
+
+def as_stations(supplier: DataFrame) -> DataFrame:
+    rows = supplier.selectExpr(
         "concat('S', CAST(s_suppkey AS STRING)) AS code", "s_name AS station_name",
         "6e0 + (s_suppkey * 104729 % 10009) * 4e-4 AS lon", "46e0 + (s_suppkey * 7919 % 10007) * 12e-5 AS lat",
         "CAST(1200 + s_suppkey * 53 % 4200 AS INT) AS elevation",
@@ -78,7 +82,11 @@ def measurements(spark: SparkSession, folder: str) -> DataFrame:
 
 def snow(spark: SparkSession, folder: str) -> DataFrame:
     """Every event is a snow reading, some without a value; stations are those of the next user, so either side has unmatched ones."""
-    rows = table(spark, folder, "events").selectExpr(
+    return as_snow(table(spark, folder, "events"))
+
+
+def as_snow(events: DataFrame) -> DataFrame:
+    rows = events.selectExpr(
         "concat('S', CAST(user_id + 1 AS STRING)) AS station_code", "CAST(ts AS DATE) AS measure_date",
         "CASE WHEN event_type IN ('purchase', 'signup', 'click') THEN value END AS value")
     daily = rows.groupBy("station_code", "measure_date").agg((F.max("value") * 1.0173926451733).alias("HS"), (F.min("value") * 0.0983174629151).alias("HN_1D"))

@@ -5,18 +5,24 @@ Floating sums are rounded to 8 digits: two engines add up in different orders.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+import zlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from firnline import schemas
 from firnline.functions import dates, labels, places
 from firnline.operators import cleaning, clusters, counts, enrich, filters, moving, neighbours, radius, rollup, scaling, unions
 from firnline.plans import adapters as A
-from firnline.plans import history, panels
+from firnline.plans import history, maintained, panels
 from firnline.plans.live import daily_features, daily_measurements, live, score_live
-from firnline.session import shared_folder
-from firnline.sources import readers, sinks
+from firnline.session import lasting_folder, shared_folder
+from firnline.sources import listing, loaders, readers, sinks
+from firnline.sources.versions import VersionedTable
 from firnline.streaming import jobs
 from firnline.vocabulary import (
     FEATURES, HEATMAP_FEATURES, HISTORY_SNOW, HISTORY_WEATHER, PANEL_MEASURES, ROLLUP_MAXIMA, ROLLUP_MEANS, ROLLUP_MEDIANS,
@@ -39,8 +45,14 @@ def _live(spark: SparkSession, d: str) -> DataFrame:
     return live(A.stations(spark, d), A.measurements(spark, d), A.snow(spark, d))
 
 
+def _by_day(spark: SparkSession, d: str) -> DataFrame:
+    """The live table as the panels read it: kept by day for this application, and refreshed when its sources have changed."""
+    path = lasting_folder(spark, f"live-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}")
+    return maintained.follow(maintained.LiveTable(spark, path), f"{d}/supplier.parquet", f"{d}/events.parquet", A.as_stations, A.as_measurements, A.as_snow)
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return score_live(A.fixed_model(), _live(spark, d))
+    return score_live(A.fixed_model(), _by_day(spark, d))
 
 
 def _scored_accidents(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +104,29 @@ def scan_history(spark, d):
     return spark.read.parquet(path)
 
 
+def _semicolon_file(rows: DataFrame, schema, purpose: str) -> str:
+    """Rows as a ;-separated file with the columns of a schema; those that rows lack are empty."""
+    cells = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType) for f in schema]
+    named = rows.select(*[c.alias(f.name) for c, f in zip(cells, schema)])
+    return _stored(named, purpose, lambda r, p: r.write.csv(p, sep=";", header=True))
+
+
+@query
+def load_raw_accidents(spark, d):
+    path = _semicolon_file(A.raw_accidents(spark, d), schemas.ACCIDENTS_RAW, "raw-accidents")
+    return loaders.load_raw_accidents(spark, path)
+
+
+@query
+def load_weather_history(spark, d):
+    return loaders.load_weather_history(spark, _semicolon_file(A.hist_weather(spark, d), schemas.HISTORY_WEATHER, "raw-weather"))
+
+
+@query
+def load_snow_history(spark, d):
+    return loaders.load_snow_history(spark, _semicolon_file(snow_enriched(spark, d), schemas.HISTORY_SNOW, "raw-snow"))
+
+
 @query
 def ingest_json(spark, d):
     rows = A.measurements(spark, d).select("nr", "station_code", "measure_date", "HS", "TA_30MIN_MEAN")
@@ -118,7 +153,20 @@ def ingest_json_array(spark, d):
 
 @query
 def freshness(spark, d):
-    return readers.freshness(A.table(spark, d, "events"))
+    return listing.freshness(listing.file_status(spark, f"{d}/events.parquet"))
+
+
+@query
+def freshness_landed(spark, d):
+    """Files of a day each, last written at noon of their day."""
+    rows = A.measurements(spark, d).select("nr", "date")
+    path = _stored(rows, "landed-days", lambda r, p: r.hint("rebalance", "date").write.partitionBy("date").parquet(p))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for file in listing.file_status(spark, path).select("path").collect():  # a few for each calendar day
+        noon = dt.datetime.fromisoformat(re.search(r"date=([0-9-]{10})", file.path)[1]).replace(hour=12, tzinfo=dt.UTC)
+        fs.setTimes(hadoop(file.path), int(noon.timestamp() * 1000), -1)
+    return listing.freshness(listing.file_status(spark, path))
 
 
 @query
@@ -138,10 +186,11 @@ def append_batch(spark, d):
 
 @query
 def rewrite_clean(spark, d):
-    """A table de-duplicated in place."""
-    path = _stored(A.arrivals(spark, d), "arrivals", sinks.write_result)
-    sinks.rewrite_table(spark, path, lambda rows: cleaning.keep_first(rows, _DUP_KEYS, _DUP_ORDER))
-    return spark.read.parquet(path)
+    """A table de-duplicated in place, in ranges of its key."""
+    table = VersionedTable(spark, shared_folder(spark, "arrivals"), "range")
+    table.write(A.arrivals(spark, d).withColumn("range", F.expr("l_orderkey div 8192")))
+    sinks.clean_in_place(table, _DUP_KEYS, _DUP_ORDER)
+    return table.read().drop("range")
 
 
 @query
@@ -484,8 +533,7 @@ def moving_avg_global(spark, d):
 @query
 def moving_avg_station(spark, d):
     rows = daily_features(A.measurements(spark, d)).select("station_code", "measure_date", "air_temp_mean_stations")
-    rows = moving.moving_average(rows, ["air_temp_mean_stations"], 3, ["measure_date"], ["station_code"],
-                                 F.year("measure_date"))
+    rows = moving.moving_average(rows, ["air_temp_mean_stations"], 3, ["measure_date"], ["station_code"])
     return rounded(rows, "air_temp_mean_stations", "air_temp_mean_stations_avg")
 
 
@@ -493,8 +541,7 @@ def moving_avg_station(spark, d):
 def moving_avg_blocks(spark, d):
     """Moving average over raw readings, whose groups may have any length."""
     rows = A.measurements(spark, d).select("nr", "station_code", "measure_ts", "TSS_30MIN_MEAN")
-    rows = moving.moving_average_in_blocks(
-        rows, ["TSS_30MIN_MEAN"], 5, ["measure_ts", "nr"], ["station_code"], F.to_date("measure_ts"), chunk=16)
+    rows = moving.moving_average(rows, ["TSS_30MIN_MEAN"], 5, ["measure_ts", "nr"], ["station_code"])
     return rounded(rows, "TSS_30MIN_MEAN", "TSS_30MIN_MEAN_avg")
 
 
@@ -701,13 +748,13 @@ def station_overview(spark, d):
 
 def _register_measure(measure: str) -> None:
     def latest(spark, d):
-        return rounded(panels.latest_map(_live(spark, d), measure), "lat", "lon", "z")
+        return rounded(panels.latest_map(_by_day(spark, d), measure), "lat", "lon", "z")
 
     def overall(spark, d):
-        return rounded(panels.trend(_live(spark, d), measure), "value", "value_avg")
+        return rounded(panels.trend(_by_day(spark, d), measure), "value", "value_avg")
 
     def by_station(spark, d):
-        return rounded(panels.trend(_live(spark, d), measure, window=3, per_station=True), "value", "value_avg")
+        return rounded(panels.trend(_by_day(spark, d), measure, window=3, per_station=True), "value", "value_avg")
 
     QUERIES[f"latest_map_{measure}"] = latest
     QUERIES[f"trend_{measure}"] = overall
@@ -720,10 +767,17 @@ for _measure in PANEL_MEASURES:
 
 @query
 def weather_trend(spark, d):
-    rows = panels.weather_trend(_live(spark, d), "Eastern Alps", start="2024-01-03", end="2024-01-25")
+    rows = panels.weather_trend(_by_day(spark, d), "Eastern Alps", start="2024-01-03", end="2024-01-25")
     return rounded(rows, *FEATURES)
 
 
+@query
+def future_marker(spark, d):
+    """Seasons whose January has nothing to show."""
+    seasons = [panels.empty_marker(panels.risk_matrix(_scored(spark, d), year, 3)).withColumn("first_year", F.lit(year)) for year in (2023, 2030)]
+    return reduce(DataFrame.unionByName, seasons)
+
+
 # ---- streaming ----
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from firnline.operators.filters import by_canton, by_date, by_date_range, by_mem
 from firnline.operators.moving import moving_average
 from firnline.operators.rollup import means_per_day
 from firnline.operators.unions import risk_layers
-from firnline.vocabulary import ALL_CANTONS, PANEL_MEASURES, PANEL_REGIONS, TREND_DAYS
+from firnline.vocabulary import ALL_CANTONS, NO_DATA, PANEL_MEASURES, PANEL_REGIONS, TREND_DAYS
 
 
 def _label() -> F.Column:
@@ -73,8 +73,7 @@ def trend(live: DataFrame, measure: str, window: int = 7, region: str | None = N
     rows = _trend_rows(live, region, canton, codes, start, end)
     if codes if per_station is None else per_station:
         named = rows.where(F.col("measure_date").isNotNull()).select("station_code", "measure_date", F.col(column).alias("value"))
-        # several rows of one day are ordered by value, so that their averages do not depend on arrival
-        return moving_average(named, ["value"], window, ["measure_date", "value"], ["station_code"], F.year("measure_date"))
+        return moving_average(named, ["value"], window, ["measure_date"], ["station_code"])
     per_day = means_per_day(rows, "measure_date", [column]).withColumnRenamed(column, "value")
     return moving_average(per_day, ["value"], window, ["measure_date"])
 
@@ -103,3 +102,8 @@ def risk_matrix(scored: DataFrame, first_year: int, month_index: int | None = No
     group = group or ("station_code" if canton and canton != ALL_CANTONS else "canton_code")
     cells = matrix_cells(rows, group, most_frequent=most_frequent)
     return cells.withColumn("colour", matrix_colour(F.col("k_mean")))
+
+
+def empty_marker(cells: DataFrame, text: str = NO_DATA) -> DataFrame:
+    """One row with a message if a panel has nothing to show, otherwise none; a single row of the panel is looked for."""
+    return cells.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(text).alias("message"))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 # A side is broadcast by hint only while Catalyst's own size estimate stays below this.
 BROADCAST_BYTES = 64 << 20
-# Inputs estimated above this get the plans that split groups holding very many rows.
-SPLIT_BYTES = 8 << 30
 # A group with more rows than this is handled apart; a buffer of that many values fits any task.
 HOT_ROWS = 100_000
 
@@ -40,8 +38,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     Without that setting (as in tests) it lies beside the managed tables, on the file
     system that Spark itself uses for them.
     """
+    return f"{lasting_folder(spark, purpose)}-{uuid.uuid4().hex}"
+
+
+def lasting_folder(spark: SparkSession, name: str) -> str:
+    """The folder of that name in the same place: the same one at every call."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}"
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -64,25 +67,11 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Estimated size of everything a frame reads; for a join the sum, not the product."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # no JVM handle (remote session): size unknown
-        return None
-
-
 def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     size = estimated_bytes(df)
     return size is not None and size <= limit
 
 
-def is_large(df: DataFrame, limit: int = SPLIT_BYTES) -> bool:
-    size = input_bytes(df)
-    return size is None or size > limit
-
-
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast behind a size check; otherwise AQE picks the join at run time."""
     return F.broadcast(df) if is_small(df, limit) else df

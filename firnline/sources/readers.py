@@ -46,10 +46,3 @@ def trim_key(rows: DataFrame, key: str) -> DataFrame:
 def clear_nan(rows: DataFrame) -> DataFrame:
     floats = [f.name for f in rows.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return rows.withColumns({name: nan_to_null(F.col(name)) for name in floats})
-
-
-def freshness(files: DataFrame) -> DataFrame:
-    """Newest modification time among the files behind a scan."""
-    return files.select(F.col("_metadata.file_modification_time").alias("t")).agg(
-        F.date_format(F.max("t"), "yyyy-MM-dd-HH:mm").alias("last_update")
-    )

@@ -1,12 +1,13 @@
-"""Writes: append with an ingest sequence, rewrite through a staged folder, table creation."""
+"""Writes: append with an ingest sequence, cleaning in place, table creation."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firnline.operators.cleaning import keep_first
+from firnline.sources.versions import VersionedTable
+
 
 def with_sequence(batch: DataFrame, batch_no: int) -> DataFrame:
     """Add the arrival order: batch number, then position inside the batch.
@@ -35,25 +36,17 @@ def append_batch(batch: DataFrame, path: str, partition_by: list[str] | None = N
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
 
-def rewrite_table(spark: SparkSession, path: str, change, partition_by: list[str] | None = None) -> str:
-    """Apply ``change`` to the table at ``path`` and put the result in its place.
+def clean_in_place(table: VersionedTable, keys: list[str], order: list[str]) -> list:
+    """Keep the first row of each key; the partition column must be a function of the key.
 
-    Spark cannot overwrite what it is reading. The result is written beside the
-    table, then the two folders swap names; the old rows are kept under ``.old-``.
+    Only partitions that hold a key twice are written anew. Their values are returned.
     """
-    tag = uuid.uuid4().hex
-    staged, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
-    out = change(spark.read.parquet(path)).write.mode("errorifexists")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(staged)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(hadoop(path), hadoop(old)):
-        raise IOError(f"could not move {path} aside")
-    if not fs.rename(hadoop(staged), hadoop(path)):
-        fs.rename(hadoop(old), hadoop(path))
-        raise IOError(f"could not put {staged} in place of {path}")
-    return old
+    rows = table.read()
+    twice = rows.groupBy(table.column, *keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    touched = [r[0] for r in twice.select(table.column).distinct().collect()]  # partitions, not rows
+    if touched:
+        table.change(lambda some: keep_first(some, keys, order), touched)
+    return touched
 
 
 def write_result(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -96,6 +96,8 @@ PANEL_MEASURES = {
 # Choices of the panels. Month slider of a winter season, October to April.
 SEASON_MONTHS = [10, 11, 12, 1, 2, 3, 4]
 WINTER_MONTHS = [11, 12, 1, 2, 3, 4]
+#: Shown in place of an empty panel (fixed value).
+NO_DATA = "No future data available"
 TREND_DAYS = 28
 
 EARTH_RADIUS_KM = 6373.0

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from firnline.operators import enrich
@@ -32,14 +34,45 @@ def test_outer_join_keeps_both_sides_and_double_readings(spark):
     assert single.count() == 5
 
 
-def test_large_outer_join_equals_the_plain_one(spark, monkeypatch):
-    weather = _weather(spark).union(spark.createDataFrame([(None, D1, 1.0, 2.0)], W))
-    snow = _snow(spark).union(spark.createDataFrame([(None, D1, 9.0, 9.0), ("S", D2, 9.0, None)], S))
-    order = ["station_code", "measure_date", "snow_height_mean_stations"]
-    plain = enrich.outer_weather_snow(weather, snow)
-    monkeypatch.setattr(enrich, "is_large", lambda df: True)
-    split = enrich.outer_weather_snow(weather, snow)
-    assert split.columns == plain.columns and rows(split, *order) == rows(plain, *order)
+def _sql_outer(single, many):
+    """The same join by DuckDB."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE w(station_code VARCHAR, measure_date DATE, a DOUBLE, b DOUBLE)")
+    con.execute("CREATE TABLE s(station_code VARCHAR, measure_date DATE, c DOUBLE, d DOUBLE)")
+    for name, some in (("w", single), ("s", many)):
+        if some:
+            con.executemany(f"INSERT INTO {name} VALUES (?, ?, ?, ?)", some)
+    return sorted(con.execute("SELECT coalesce(w.station_code, s.station_code), coalesce(w.measure_date, s.measure_date), a, b, c, d"
+                              " FROM w FULL JOIN s ON w.station_code = s.station_code AND w.measure_date = s.measure_date").fetchall(), key=str)
+
+
+HOT = [("A", D1, float(i % 7), None) for i in range(60)] + [("A", D2, 1.0, 1.0)] * 40 + [(None, D1, float(i), 2.0) for i in range(30)] + [("N", D2, float(i), 0.0) for i in range(25)]
+
+
+@pytest.mark.parametrize("many", [[], [("A", D1, 1.0, None), ("B", D2, 2.0, 3.0)], HOT, [*HOT, ("F", D1, 9.0, 9.0), ("S", None, 1.0, None), ("X", D1, None, None)]])
+@pytest.mark.parametrize("single", [[], [("A", D1, 1.0, 2.0), ("A", D2, None, None), ("F", D1, 5.0, 6.0), ("Z", D2, 7.0, 8.0), (None, D1, 3.0, 3.0), ("X", None, 1.0, 1.0)]])
+@pytest.mark.parametrize("hot_rows", [4, 1000])
+def test_hot_keys_of_an_outer_join(spark, single, many, hot_rows):
+    weather, snow = spark.createDataFrame(single, W), spark.createDataFrame(many, S)
+    got = enrich.salted_outer(weather, snow, enrich.KEYS, hot_rows)
+    assert got.columns == [*enrich.KEYS, *weather.columns[2:], *snow.columns[2:]]
+    assert sorted(map(tuple, got.collect()), key=str) == _sql_outer(single, many)
+
+
+def test_a_hot_key_meets_in_many_tasks(spark):
+    """A third of all rows under one key: no join partition gets more than a small part of them."""
+    snow = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "A").otherwise(F.concat(F.lit("S"), "id")).alias("station_code"),
+                                      F.lit(D1).alias("measure_date"), F.col("id").cast("double").alias("snow_height_mean_stations"))
+    weather = spark.createDataFrame([("A", D1, 1.0, 2.0), ("B", D1, 1.0, 2.0)], W)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        joined = enrich.salted_outer(weather, snow, enrich.KEYS, 500)
+        parts = [r[0] for r in joined.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(parts) == 30_001 and len(parts) == 16 and max(parts) < 6_000
 
 
 def test_live_table_keeps_silent_stations_and_drops_rows_without_region(spark):

@@ -44,13 +44,11 @@ def test_entry(spark, small):
     "risk_matrix_canton", "stream_daily",
 ])
 def test_plans_for_large_inputs_agree(spark, small, duck, name, monkeypatch):
-    """The same rows when every input counts as large and nothing may be broadcast by hint."""
-    from firnline.operators import enrich, moving, rollup
-
-    for module in (enrich, moving):
-        monkeypatch.setattr(module, "is_large", lambda df: True)
-    monkeypatch.setattr(enrich, "broadcast_if_small", lambda df: df)
-    monkeypatch.setattr(rollup, "broadcast_if_small", lambda df: df)
-    monkeypatch.setattr(rollup, "HOT_ROWS", 8)
+    """The same rows when small groups count as hot and nothing may be broadcast by hint."""
+    from firnline.operators import enrich, rollup
+
+    for module, most in ((enrich, 1), (rollup, 8)):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df: df)
+        monkeypatch.setattr(module, "HOT_ROWS", most)
     schema, got = spark_rows(queries()[name](spark, small))
     assert (schema, got) == duck_rows(duck, oracle_sql()[name])

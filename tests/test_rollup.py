@@ -63,11 +63,40 @@ def test_moving_average_counts_rows_not_days(spark):
     assert got == [None, None, 1.0]
 
 
-@pytest.mark.parametrize("chunk", [7, 16, 1000])
-def test_blocks_equal_one_window(spark, chunk):
-    rng = random.Random(chunk)
-    data = [(rng.choice(["A", "A", "A", "B", None]), i, rng.choice([None, float(i), float(i)])) for i in range(300)]
-    frame = spark.createDataFrame(data, "s STRING, i INT, v DOUBLE")
-    plain = moving.moving_average(frame, ["v"], 4, ["i"], ["s"])
-    split = moving.moving_average_in_blocks(frame, ["v"], 4, ["i"], ["s"], F.floor(F.col("i") / 50), chunk=chunk)
-    assert rows(split.select(plain.columns), "i") == rows(plain, "i")
+def averages(data, n):
+    """By hand: data of (station, place, value), where ties of a place follow the value, NULL first."""
+    out, groups = [], {}
+    for s, i, v in sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2] is not None, r[2] or 0.0)):
+        values = groups.setdefault(s, [])
+        values.append(v)
+        last = values[-n:]
+        out.append((s, i, v, sum(last) / n if len(last) == n and None not in last else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 40])
+@pytest.mark.parametrize("n", [1, 4, 30])
+def test_ranges_with_a_halo_equal_one_window(spark, parts, n):
+    """Ranges of about 300, 75 and 7 rows, so that a window spans several of them; one station has two thirds of the rows."""
+    rng = random.Random(parts + n)
+    data = [(rng.choice(["A", "A", "A", "A", "B", None]), rng.randrange(200), rng.choice([None, *[float(rng.randrange(9))] * 40])) for _ in range(300)]
+    frame = spark.createDataFrame(data, "s STRING, i INT, v DOUBLE").repartition(5)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        placed, starts = moving._ranged(frame, ["s", "i", "v"])
+        assert starts[-1] == 300 and (parts == 1 or max(b - a for a, b in zip(starts, starts[1:])) < 250)
+        got = sorted(map(tuple, moving.moving_average(frame, ["v"], n, ["i"], ["s"]).collect()), key=str)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = averages(data, n)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(g[3] == pytest.approx(w[3]) if w[3] is not None else g[3] is None for g, w in zip(got, want))
+
+
+def test_moving_average_of_nothing(spark):
+    frame = spark.createDataFrame([], "s STRING, i INT, v DOUBLE")
+    assert moving.moving_average(frame, ["v"], 3, ["i"], ["s"]).collect() == []

@@ -1,10 +1,10 @@
-import re
+import os
 
 import pytest
 
 from firnline import schemas
 from firnline.session import shared_folder
-from firnline.sources import loaders, readers, sinks
+from firnline.sources import listing, loaders, readers, sinks
 from tests.conftest import rows
 
 
@@ -46,11 +46,20 @@ def test_append_keeps_arrival_order(spark, tmp_path):
     assert [r.HS for r in spark.read.parquet(str(tmp_path / "table")).orderBy("batch", "file", "nr").collect()] == [1.0, 2.0]
 
 
-def test_rewrite_reads_and_replaces_the_same_table(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(10).write.parquet(path)
-    old = sinks.rewrite_table(spark, path, lambda r: r.where("id < 3"))
-    assert spark.read.parquet(path).count() == 3 and spark.read.parquet(old).count() == 10
+def test_freshness_from_file_times(spark, tmp_path):
+    for name, hour in (("a", 3), ("b", 17), ("c", 9)):
+        (tmp_path / "t" / f"day={name}").mkdir(parents=True)
+        file = tmp_path / "t" / f"day={name}" / "part-0.parquet"
+        file.write_bytes(b"no parquet at all")  # opening it would be an error
+        os.utime(file, (1_700_000_000 + hour * 60,) * 2)
+    files = listing.file_status(spark, str(tmp_path / "t"))
+    assert files.count() == 3 and {r.length for r in files.collect()} == {17}
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert listing.freshness(files).first().last_update == "2023-11-14-22:30"
+    first = listing.fingerprints(t=files, u=files.limit(0))
+    assert first["u"] == "0|0|0" and first == listing.fingerprints(t=files, u=files.limit(0))
+    os.utime(file, (1_700_000_000,) * 2)
+    assert listing.fingerprints(t=listing.file_status(spark, str(tmp_path / "t")))["t"] != first["t"]
 
 
 def test_create_table_replaces(spark, tmp_path):
@@ -60,11 +69,8 @@ def test_create_table_replaces(spark, tmp_path):
     spark.sql("DROP TABLE firnline_test_table")
 
 
-def test_preview_and_freshness(spark, tmp_path):
-    spark.range(10).write.parquet(str(tmp_path / "t"))
-    frame = spark.read.parquet(str(tmp_path / "t"))
-    assert [r.id for r in sinks.preview(frame, ["id"]).collect()] == [0, 1, 2, 3, 4]
-    assert re.fullmatch(r"\d{4}-\d\d-\d\d-\d\d:\d\d", readers.freshness(frame).first().last_update)
+def test_preview(spark):
+    assert [r.id for r in sinks.preview(spark.range(10), ["id"]).collect()] == [0, 1, 2, 3, 4]
 
 
 def test_shared_folder_follows_the_session(spark):
