@@ -66,7 +66,11 @@ class ShardWriter:
         self.held, self.n_held, self.offsets, self.docs, self.n_ids, self.at = [], 0, [], [], 0, 0
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+        self.add_all([doc_id], np.array([len(ids)]), ids)
+
+    def add_all(self, doc_ids: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Some documents at once: ids holds theirs after each other."""
+        self.docs.extend(zip(doc_ids, sizes.tolist(), strict=True))
         self.held.append(ids)
         self.n_held += len(ids)
         self.n_ids += len(ids)
@@ -132,6 +136,8 @@ class ShardReader:
 UNSAFE = re.compile(r"[^\x00-\x7f\xc0-\xff]|<\|")
 #: The tokenizer's pieces of lower-cased text made of such characters; letters, the most frequent, are tried first.
 PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\x0b\x0c\ra-z0-9\xdf-\xf6\xf8-\xff]+")
+#: What the last token of a piece ends with (fixed value).
+WORD_END = "</w>"
 PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
 
 
@@ -145,6 +151,9 @@ class PieceIds(Recent):
     def __init__(self, tokenizer):
         super().__init__(1 << 19)
         self.tokenizer = tokenizer
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
 
     def pieces(self, text: str) -> list[str]:
         if "<|" not in text if text.isascii() else not UNSAFE.search(text):
@@ -163,15 +172,31 @@ class PieceIds(Recent):
     def worth(self, piece: str) -> bool:
         return len(piece) <= 64
 
-    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.pieces(t) for t in texts]
-        new = [p for p in set().union(*parts) if p not in self and p not in self.older]
-        for begin in range(0, len(new), 4096):
-            some = new[begin:begin + 4096]
+    def learn(self, new: list[str]) -> None:
+        """Encode pieces and remember them. Plain ones go together, with white space between them: the end of each piece shows in its last token."""
+        odd = {p for p in new if not p.isascii() and UNSAFE.search(p) or "<|" in p}
+        plain, rest = [p for p in new if p not in odd], list(odd)
+        for begin in range(0, len(plain), 512):
+            some = plain[begin:begin + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                raise ValueError("the vocabulary has no word ends")
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(some, (4 * cuts).tolist(), strict=True):
+                self.keep(p, raw[at:end])
+                at = end
+        for begin in range(0, len(rest), 4096):
+            some = rest[begin:begin + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                if self.worth(p):
-                    self.keep(p, np.array(e.ids, "<u4").tobytes())
-        return [np.frombuffer(b"".join(map(self.__getitem__, part)), "<u4") for part in parts]
+                self.keep(p, np.array(e.ids, "<u4").tobytes())
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts after each other, and how many each text has."""
+        parts = [self.pieces(t) for t in texts]
+        self.learn([p for p in set().union(*parts) if p not in self and p not in self.older and self.worth(p)])
+        raw = [b"".join(map(self.__getitem__, part)) for part in parts]
+        return np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) for r in raw], np.int64) // 4
 
 
 _READY: dict[int, PieceIds] = {}
@@ -202,8 +227,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shards: in
         trial = f"{base}/.{uuid.uuid4().hex}"
 
         def flush() -> None:
-            for (doc_id, _), ids in zip(held, cache.ids_of([t for _, t in held]), strict=True):
-                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+            ids, sizes = cache.ids_of([t for _, t in held])
+            writer.add_all([i for i, _ in held], sizes + 1, np.insert(ids, np.cumsum(sizes), end_id))
             held.clear()
 
         for batch in batches:
