@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from checks import learning
 from checks.views import ELEVATION_CASE, FEATURES, REGION_ID_CASE, region_case, with_views
 
 RISK = ("CASE k_cluster WHEN 0 THEN '3 - moderate' WHEN 1 THEN '4 - considerable' WHEN 2 THEN '2 - low'"
@@ -292,6 +293,7 @@ WHERE canton_code IN ('FL', 'GL', 'GR', 'SG') AND measure_date BETWEEN DATE '202
     "stream_daily": ROLLUP,
     "stream_score": "SELECT station_code, measure_date, k_cluster, round(PCA1, 8) AS PCA1, round(PCA2, 8) AS PCA2 FROM v_scored",
 }
+SQL |= {"kmeans_fit": learning.kmeans(), "kmeans_fixpoint": learning.fixpoint(), "elbow": learning.elbow(), "pca_fit": learning.pca(), "pca_residual": learning.residual()}
 SQL["load_snow_history"] = SQL["snow_enriched"]
 for _m, _column in MEASURE.items():
     SQL[f"latest_map_{_m}"] = (f"SELECT code, round(lat, 8) AS lat, round(lon, 8) AS lon, round({_column}, 8) AS z FROM v_live"

@@ -159,6 +159,8 @@ def with_views(sql: str) -> str:
         return sql
     defined = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {defined},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {defined},\n{body[5:]}"
     return f"WITH {defined}\n{body}"

@@ -1,25 +1,22 @@
-"""k-means and PCA on Spark ML, with stable labels and signs."""
+"""Risk clusters and principal components, with stable labels and signs."""
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
+from firnline.operators import lattice
 from firnline.operators.filters import present
+from firnline.operators.lattice import from_lattice, to_lattice
 from firnline.operators.scaling import Scaler, project
 from firnline.vocabulary import CLUSTER_CENTRES, FEATURES
 
-MAX_ITER = 300
-SHIFT = 1e-4  # stop once the squared shifts of all centres sum up to less than this
-SEEDS = (0, 1, 2)
+SWEEPS = 12  # Jacobi's rotations converge quadratically; a matrix of a few columns needs half as many
 
 
 def nearest_centre(columns: list[str], centres: dict[int, list[float]]) -> Column:
@@ -47,22 +44,6 @@ def vectors(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(rows)
 
 
-def _fits(points: DataFrame, settings: list[tuple[int, int]]) -> list:
-    """One model per (k, seed). Fits are chains of short jobs, so several run side by side."""
-    def fit(setting: tuple[int, int]):
-        k, seed = setting
-        return KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=math.sqrt(SHIFT / k)).fit(points)
-
-    with ThreadPoolExecutor(max_workers=len(settings)) as pool:
-        # each thread keeps the caller's job group and local properties
-        return list(pool.map(lambda s: inheritable_thread_target(points.sparkSession)(fit)(s), settings))
-
-
-def _best_fit(points: DataFrame, k: int, seeds=SEEDS):
-    """Lowest-cost model over several seeds: one seed depends on how rows are partitioned."""
-    return min(_fits(points, [(k, seed) for seed in seeds]), key=lambda model: model.summary.trainingCost)
-
-
 def canonical_labels(centres: list[list[float]], stored: dict[int, list[float]] | None = None) -> dict[int, list[float]]:
     """Give fitted centres lasting labels: of the nearest stored centre, one to one; else in sorted order."""
     if not stored:
@@ -90,27 +71,46 @@ def upright(components: list[list[float]]) -> list[list[float]]:
     return [[-v for v in c] if max(c, key=abs) < 0 else list(c) for c in components]
 
 
-def pca_components(points: DataFrame, k: int = 2) -> list[list[float]]:
-    """Loadings of the first k components of a vector column ``features``."""
-    matrix = PCA(k=k, inputCol="features", outputCol="pca").fit(points).pc.toArray()
-    return upright([[float(v) for v in matrix[:, i]] for i in range(matrix.shape[1])])
-
-
-def elbow(rows: DataFrame, columns: list[str], ks: range = range(1, 11)) -> DataFrame:
-    """Cost of the best fit per k; the vectors are cached once for all fits."""
-    points = vectors(rows.select(*columns), columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+def covariance(rows: DataFrame, columns: list[str]) -> list[list[float]]:
+    """Population covariances of a few columns, by one aggregation with a cell for each pair of them."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+    found = rows.agg(*[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    return [[float(found[f"c{max(i, j)}_{min(i, j)}"] or 0.0) for j in range(len(columns))] for i in range(len(columns))]
+
+
+def principal_axes(matrix: list[list[float]]) -> list[tuple[float, list[float]]]:
+    """Eigenvalues, largest first, with their vectors, by Jacobi's rotations: each makes one pair of a symmetric matrix zero."""
+    n = len(matrix)
+    a, v = [list(row) for row in matrix], [[float(i == j) for j in range(n)] for i in range(n)]
+    for _ in range(SWEEPS):
+        for p in range(n):
+            for q in range(p + 1, n):
+                if a[p][q] == 0.0:
+                    continue
+                tau = (a[q][q] - a[p][p]) / (2.0 * a[p][q])
+                t = math.copysign(1.0, tau) / (abs(tau) + math.sqrt(1.0 + tau * tau))
+                c = 1.0 / math.sqrt(1.0 + t * t)
+                s = t * c
+                for m in (a, v):  # columns p and q
+                    for row in m:
+                        row[p], row[q] = c * row[p] - s * row[q], s * row[p] + c * row[q]
+                a[p], a[q] = [c * x - s * y for x, y in zip(a[p], a[q])], [s * x + c * y for x, y in zip(a[p], a[q])]
+    return sorted(((a[i][i], [v[r][i] for r in range(n)]) for i in range(n)), key=lambda axis: -axis[0])
+
+
+def pca_components(rows: DataFrame, columns: list[str], k: int = 2) -> list[list[float]]:
+    """Loadings of the first k components of some columns."""
+    return upright([axis for _, axis in principal_axes(covariance(rows, columns))[:k]])
+
+
+def elbow(rows: DataFrame, columns: list[str], ks: range = range(1, 11), key: list[str] | None = None) -> DataFrame:
+    """Cost of the fitted centres per k for z-scores; all k are fitted side by side, with one aggregation a step."""
+    points = to_lattice(rows, columns, key or []).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = _fits(points, [(k, seed) for k in ks if k > 1 for seed in SEEDS])
-        best: dict[int, float] = {}
-        for m in models:
-            best[m.getK()] = min(best.get(m.getK(), float("inf")), float(m.summary.trainingCost))
-        costs = list(best.items())
-        if 1 in ks:  # closed form: squared distances from the mean
-            wide = rows.agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in columns]).first()
-            costs.append((1, float(wide["n"] * sum(wide[c] or 0.0 for c in columns))))
+        costs = lattice.cost(points, lattice.fit(points, list(ks)))
     finally:
         points.unpersist()
-    return rows.sparkSession.createDataFrame(costs, "k INT, inertia DOUBLE")
+    return rows.sparkSession.createDataFrame(sorted(costs.items()), "k INT, inertia DOUBLE")
 
 
 @dataclass(frozen=True)
@@ -123,23 +123,25 @@ class RiskModel:
 
     @classmethod
     def fit(cls, training: DataFrame, features: list[str] = FEATURES, k: int = 5,
-            stored: dict[int, tuple] | None = CLUSTER_CENTRES, components: int = 2) -> RiskModel:
-        """Fit on the complete rows. ``stored`` holds centres in original units that name the clusters."""
+            stored: dict[int, tuple] | None = CLUSTER_CENTRES, components: int = 2, key: list[str] | None = None) -> RiskModel:
+        """Fit on the complete rows. ``stored`` holds centres in original units that name the clusters.
+
+        ``key`` names columns that tell rows apart; without it rows of equal features are drawn together as seeds.
+        """
         complete = present(training, features)
-        scaler = Scaler.fit(complete, features)
+        scaler = Scaler.fit(complete, features).rounded()
         names = [f"z{i + 1}" for i in range(len(features))]
-        points = vectors(scaler.apply(complete.select(*features)).select(*names), names).select("features")
-        points = points.persist(StorageLevel.MEMORY_AND_DISK)
+        scaled = scaler.apply(complete).select(*(key or []), *names)
+        points = to_lattice(scaled, names, key or []).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            fitted = [list(map(float, c)) for c in _best_fit(points, k).clusterCenters()]
-            axes = pca_components(points, components)
+            fitted = [from_lattice(c) for c in lattice.fit(points, [k])[k]]
         finally:
             points.unpersist()
         kept = None
         if stored:
             divisors = [s if s else 1.0 for s in scaler.stds]
             kept = {n: [(v - m) / s for v, m, s in zip(c, scaler.means, divisors)] for n, c in stored.items()}
-        return cls(scaler, canonical_labels(fitted, kept), axes)
+        return cls(scaler, canonical_labels(fitted, kept), pca_components(scaled, names, components))
 
     @property
     def names(self) -> list[str]:

@@ -36,6 +36,10 @@ class Scaler:
         fitted = {r.feature: r for r in scaler_fit(rows, features).collect()}
         return cls(list(features), [fitted[f].mean for f in features], [fitted[f].std for f in features])
 
+    def rounded(self, digits: int = 9) -> Scaler:
+        """The same without the last digits, which depend on the order in which rows were added up."""
+        return Scaler(self.features, [round(m, digits) for m in self.means], [round(s, digits) for s in self.stds])
+
     def _divisors(self) -> list[float]:
         return [s if s else 1.0 for s in self.stds]
 

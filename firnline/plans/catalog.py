@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from firnline import schemas
 from firnline.functions import dates, labels, places
-from firnline.operators import cleaning, clusters, counts, enrich, filters, moving, neighbours, radius, rollup, scaling, unions
+from firnline.operators import cleaning, clusters, counts, enrich, filters, lattice, moving, neighbours, radius, rollup, scaling, unions
 from firnline.plans import adapters as A
 from firnline.plans import history, maintained, panels
 from firnline.plans.live import daily_features, daily_measurements, live, score_live
@@ -673,7 +673,7 @@ def kmeans_assign(spark, d):
 
 
 def _model(rows: DataFrame) -> clusters.RiskModel:
-    return clusters.RiskModel.fit(rows, _F, k=5, stored=None)
+    return clusters.RiskModel.fit(rows, _F, k=5, stored=None, key=["row_id"])
 
 
 @query
@@ -683,14 +683,40 @@ def kmeans_fit(spark, d):
 
 
 @query
-def pca_fit(spark, d):
+def kmeans_fixpoint(spark, d):
+    """One more step from the fitted centres: the rounded mean of each centre's rows, and whether it is the centre."""
     rows = A.training(spark, d)
-    scaled = scaling.Scaler.fit(rows, _F).apply(rows)
-    axes = clusters.pca_components(clusters.vectors(scaled, _Z))
+    model = _model(rows)
+    points = lattice.to_lattice(model.scaler.apply(rows), _Z, ["row_id"])
+    most = lattice.limit(len(_Z))
+    centres = [tuple(round(z * lattice.UNIT) + most for z in model.centres[n]) for n in sorted(model.centres)]
+    return lattice.fixpoint(points, centres).select("k_cluster", "n", *[F.round((F.col(f"q{i + 1}") - most) / lattice.UNIT, 8).alias(z) for i, z in enumerate(_Z)], "fixed")
+
+
+def _scaled_training(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.training(spark, d)
+    return scaling.Scaler.fit(rows, _F).rounded().apply(rows)
+
+
+@query
+def pca_fit(spark, d):
+    axes = clusters.pca_components(_scaled_training(spark, d), _Z)
     cells = [(i + 1, f, float(w)) for i, axis in enumerate(axes) for f, w in zip(_F, axis)]
     return rounded(spark.createDataFrame(cells, "component INT, feature STRING, loading DOUBLE"), "loading")
 
 
+@query
+def pca_residual(spark, d):
+    """Eigenvalues, and what is left of covariance times loadings less eigenvalue times loadings."""
+    matrix = clusters.covariance(_scaled_training(spark, d), _Z)
+    cells = []
+    for i, (value, axis) in enumerate(clusters.principal_axes(matrix)):
+        left = [sum(c * w for c, w in zip(row, axis)) - value * w for row, w in zip(matrix, axis)]
+        cells.append((i + 1, float(value), max(map(abs, left))))
+    return spark.createDataFrame(cells, "component INT, eigenvalue DOUBLE, residual DOUBLE").withColumns(
+        {"eigenvalue": F.round("eigenvalue", 8), "residual": F.round("residual", 8)})
+
+
 @query
 def pca_apply(spark, d):
     rows = A.training(spark, d)
@@ -700,9 +726,7 @@ def pca_apply(spark, d):
 
 @query
 def elbow(spark, d):
-    rows = A.training(spark, d)
-    scaled = scaling.Scaler.fit(rows, _F).apply(rows)
-    return rounded(clusters.elbow(scaled, _Z), "inertia")
+    return rounded(clusters.elbow(_scaled_training(spark, d), _Z, key=["row_id"]), "inertia")
 
 
 @query

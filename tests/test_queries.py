@@ -8,7 +8,7 @@ from checks.texts import ORACLE
 from firnline.plans.catalog import QUERIES
 
 UNWANTED = ["CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"]
-WITHOUT_TEXT = {"freshness", "kmeans_fit", "pca_fit", "elbow"}
+WITHOUT_TEXT = {"freshness"}
 
 
 @pytest.fixture(scope="module")
