@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.operators import moving, rollup
+from firnline.operators import medians, moving, rollup
 from firnline.operators.medians import bracketed_median
 from tests.conftest import rows
 
@@ -44,6 +44,24 @@ def test_bracketed_median_is_exact(spark):
             assert got[key] == pytest.approx(statistics.median(values), abs=0)
 
 
+@pytest.mark.parametrize("margin", [-0.3, 0.2, None])
+def test_a_missed_bracket_is_searched_exactly(spark, monkeypatch, margin):
+    """With a bracket that is empty (or lies on one side) for every group, medians still are exact."""
+    rng = random.Random(7)
+    groups = {
+        "even": [rng.random() for _ in range(1000)], "odd": [rng.gauss(0, 1) for _ in range(777)], "same": [3.5] * 400, "two": [1.0] * 300 + [2.0] * 300,
+        "wide": [10.0 ** rng.randint(-300, 300) * rng.choice([-1, 1]) for _ in range(900)], "one": [4.0], "pair": [1.0, 2.0], "heavy": [0.0] * 500 + [rng.random() for _ in range(499)]}
+    frame = spark.createDataFrame([(k, v) for k, values in groups.items() for v in [*values, None]], "k STRING, v DOUBLE").repartition(3)
+    if margin is None:
+        monkeypatch.setattr(medians, "PIVOTS", 2)
+        monkeypatch.setattr(medians, "MARGIN", -0.3)
+    else:
+        monkeypatch.setattr(medians, "MARGIN", margin)
+    monkeypatch.setattr(medians, "ACCURACY", 3)
+    got = {r.k: r.v for r in bracketed_median(frame, ["k"], "v").collect()}
+    assert got == {k: statistics.median(values) for k, values in groups.items()}
+
+
 def test_circular_mean(spark):
     frame = spark.createDataFrame([(350.0,), (10.0,)], "w DOUBLE")
     assert frame.agg(rollup.circular_mean(F.col("w"))).first()[0] == pytest.approx(0.0, abs=1e-9)
