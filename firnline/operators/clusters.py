@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,9 +104,10 @@ def pca_components(rows: DataFrame, columns: list[str], k: int = 2) -> list[list
 
 def elbow(rows: DataFrame, columns: list[str], ks: range = range(1, 11), key: list[str] | None = None) -> DataFrame:
     """Cost of the fitted centres per k for z-scores; all k are fitted side by side, with one aggregation a step."""
-    points = to_lattice(rows, columns, key or []).persist(StorageLevel.MEMORY_AND_DISK)
+    points = to_lattice(rows, columns, key or [])
     try:
-        costs = lattice.cost(points, lattice.fit(points, list(ks)))
+        near = lattice.held(points)
+        costs = lattice.cost(near, lattice.fit(near, list(ks)))
     finally:
         points.unpersist()
     return rows.sparkSession.createDataFrame(sorted(costs.items()), "k INT, inertia DOUBLE")
@@ -132,9 +132,9 @@ class RiskModel:
         scaler = Scaler.fit(complete, features).rounded()
         names = [f"z{i + 1}" for i in range(len(features))]
         scaled = scaler.apply(complete).select(*(key or []), *names)
-        points = to_lattice(scaled, names, key or []).persist(StorageLevel.MEMORY_AND_DISK)
+        points = to_lattice(scaled, names, key or [])
         try:
-            fitted = [from_lattice(c) for c in lattice.fit(points, [k])[k]]
+            fitted = [from_lattice(c) for c in lattice.fit(lattice.held(points), [k])[k]]
         finally:
             points.unpersist()
         kept = None

@@ -39,10 +39,10 @@ def salted_outer(single: DataFrame, many: DataFrame, keys: list[str], hot_rows:
     """
     most = hot_rows or HOT_ROWS
     counted = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    if counted.isEmpty():
+        return single.join(many, keys, "full_outer")
     # at most one row for every hot_rows rows of many
     hot = stored(counted.select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / most).cast("int").alias("_salts")), "hot-keys")
-    if hot.isEmpty():
-        return single.join(many, keys, "full_outer")
     columns = [*keys, *[c for side in (single, many) for c in side.columns if c not in keys]]
     hot, drop = broadcast_if_small(hot), [f"_{k}" for k in keys]
     same = lambda side: reduce(and_, [side[k].eqNullSafe(hot[f"_{k}"]) for k in keys])

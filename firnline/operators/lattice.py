@@ -10,8 +10,10 @@ share one aggregation over the rows.
 
 from __future__ import annotations
 
+import uuid
 from math import isqrt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ UNIT = 1 << 20
 #: Hashes are whole numbers below this.
 HASHES = 1 << 52
 ROUNDS, MAX_ROUNDS = 2, 50
+#: A task takes at least so many rows in a pass.
+TASK_ROWS = 50_000
 MAX_ITER = 100
 
 Point = tuple[int, ...]
@@ -37,6 +41,12 @@ def to_lattice(rows: DataFrame, columns: list[str], key: list[str]) -> DataFrame
                        *[q.cast("bigint").alias(f"q{i + 1}") for i, q in enumerate(near)])
 
 
+def held(points: DataFrame) -> DataFrame:
+    """Points kept for many short passes, in partitions by their counted number: few points are one task without a shuffle."""
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    return points.coalesce(max(1, -(-points.count() // TASK_ROWS)))
+
+
 def from_lattice(point: Point) -> list[float]:
     return [(q - limit(len(point))) / UNIT for q in point]
 
@@ -107,19 +117,23 @@ def lloyd(points: DataFrame, starts: dict[int, list[Point]], steps: int = MAX_IT
     One aggregation a step, over the k that still move; its result has a row for each centre.
     """
     names, centres = _names(points), {k: list(c) for k, c in starts.items()}
-    moving = sorted(centres)
-    for _ in range(steps):
-        if not moving:
-            break
-        every = ", ".join(f"named_struct('k', {k}, 'centres', {_constant(centres[k])})" for k in moving)
-        at = F.explode(F.expr(f"transform(array({every}), s -> named_struct('k', s.k, 'j', {_nearest(names, 's.centres')}.j))"))
-        sums = points.select(*names, at.alias("at")).groupBy("at.k", "at.j").agg(
-            F.count("*").alias("n"), *[F.sum(F.col(q).cast("decimal(20,0)")).alias(q) for q in names])
-        new = {k: list(centres[k]) for k in moving}
-        for r in sums.collect():
-            new[r.k][r.j] = tuple((2 * int(r[q]) + r.n) // (2 * r.n) for q in names)
-        moving = [k for k in moving if new[k] != centres[k]]
-        centres.update(new)
+    moving, view = sorted(centres), f"lattice_{uuid.uuid4().hex}"
+    points.createOrReplaceTempView(view)  # a step is one text, without a call for each of its expressions
+    try:
+        for _ in range(steps):
+            if not moving:
+                break
+            every = ", ".join(f"named_struct('k', {k}, 'centres', {_constant(centres[k])})" for k in moving)
+            at = f"explode(transform(array({every}), s -> named_struct('k', s.k, 'j', {_nearest(names, 's.centres')}.j)))"
+            sums = ", ".join(f"sum(CAST({q} AS DECIMAL(20, 0))) AS {q}" for q in names)
+            found = points.sparkSession.sql(f"SELECT at.k, at.j, count(*) AS n, {sums} FROM (SELECT {', '.join(names)}, {at} AS at FROM {view}) GROUP BY at.k, at.j")
+            new = {k: list(centres[k]) for k in moving}
+            for r in found.collect():
+                new[r.k][r.j] = tuple((2 * int(r[q]) + r.n) // (2 * r.n) for q in names)
+            moving = [k for k in moving if new[k] != centres[k]]
+            centres.update(new)
+    finally:
+        points.sparkSession.catalog.dropTempView(view)
     return centres
 
 

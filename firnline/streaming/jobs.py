@@ -8,15 +8,12 @@ repeated after a failure rewrites its own output and adds nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from firnline.operators.cleaning import keep_first
 from firnline.operators.clusters import RiskModel
 
 
@@ -49,11 +46,6 @@ def each_batch(stream: DataFrame, change: Callable[[DataFrame, int], None], chec
     _finish(writer.trigger(availableNow=True).start())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def _replace_partitions(rows: DataFrame, target: str, partition_by: list[str]) -> None:
     # AQE gathers small partitions into one task and splits those too large for one
     writer = rows.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -71,27 +63,33 @@ def dedupe_within(stream: DataFrame, keys: list[str], event_time: str, delay: st
     return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def dedupe_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], day: str) -> None:
-    """Exact keep-first over everything ever stored; ``day`` is a function of the key.
+def dedupe_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], day: str,
+                  event_time: str | None = None, delay: str | None = None) -> None:
+    """Keep the first row of each key, over all batches; ``day`` is a column that follows from the key.
+
+    The first row of every key is kept as state, in the state store of the checkpoint. A batch
+    looks up its own keys there and reads nothing that is stored in the target. Within a batch the first is the one of
+    smallest ``order``, then by the other columns; NULL keys are copies of each other. All rows of a batch carry one
+    time of arrival, so a key is new if its earliest and its latest time are the same.
 
-    A batch keeps the first of its own copies, then drops keys stored by other batches
-    (an anti join that reads the touched days only). The batch number is a partition,
-    so a repeated batch replaces itself.
+    Without ``delay`` the state holds every key ever seen and the result is exact. With it, keys
+    are forgotten once ``event_time``, a timestamp among the keys, lies that far behind the newest one, and rows
+    that come later than that are left out. The batch number is a partition, so a repeated batch replaces itself.
     """
-    spark = stream.sparkSession
+    others = [c for c in stream.columns if c not in (*keys, *order)]
+    rows = stream.withColumn("_arrived", F.current_timestamp())
+    if delay:
+        if event_time not in keys:
+            raise ValueError("the event time must be part of the key")
+        rows = rows.withWatermark(event_time, delay)
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order, *others)).alias("_first"), F.min("_arrived").alias("_since"), F.max("_arrived").alias("_until"))
 
     def change(batch: DataFrame, number: int) -> None:
-        fresh = keep_first(batch, keys, order)
-        if _exists(spark, target):
-            days = _days(batch, day)
-            touched = F.col(day).isin([d for d in days if d is not None])
-            touched = F.coalesce(touched, F.lit(False)) | F.col(day).isNull() if None in days else touched
-            stored = spark.read.parquet(target).where(touched & (F.col("batch") != number)).select(*[F.col(c).alias(f"_{c}") for c in keys])
-            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])  # NULL keys are copies of each other
-            fresh = fresh.join(stored, same, "left_anti")
+        fresh = batch.where("_since = _until").select(*keys, "_first.*").select(*stream.columns)
         _replace_partitions(fresh.withColumn("batch", F.lit(number)), target, [day, "batch"])
 
-    each_batch(stream, change, checkpoint)
+    writer = first.writeStream.outputMode("update").foreachBatch(change).option("checkpointLocation", checkpoint)
+    _finish(writer.trigger(availableNow=True).start())
 
 
 def daily_stream(stream: DataFrame, stored: str, target: str, checkpoint: str, day: str,

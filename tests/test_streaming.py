@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,38 @@ def test_exact_dedupe_keeps_the_first_batch(spark, tmp_path):
     assert [r.nr for r in spark.read.parquet(f"{root}/out").orderBy("nr").collect()] == [1, 3, 5, 6]
 
 
+def test_dedupe_over_many_batches_reads_no_stored_rows(spark, tmp_path):
+    """Ten batches with copies inside and across them, NULL keys and equal orders; the target is taken away in between."""
+    rng, root, everything = random.Random(3), str(tmp_path), []
+    seen, kept = set(), []
+    for batch in range(10):
+        data = [(rng.randrange(50) + 100 * batch, rng.choice(["A", "B", None]), at(rng.randint(1, 4), rng.randint(0, 5)), float(rng.randrange(3))) for _ in range(25)]
+        land(spark, f"{root}/in{batch}", data)
+        new = {}
+        for n, s, t, v in sorted(data, key=lambda r: (r[0], r[2], r[3])):
+            if (s, t) not in seen:
+                new.setdefault((s, t), (n, s, t, v))
+        seen |= set(new)
+        kept += new.values()
+        folders = spark.readStream.schema(R).parquet(f"{root}/in*")
+        jobs.dedupe_stream(folders, f"{root}/out", f"{root}/cp", ["station", "t"], ["nr", "day", "v"], "day")
+        everything += [tuple(r) for r in spark.read.schema(R).parquet(f"{root}/out").select("nr", "station", "t", "v").collect()]  # of this batch alone
+        os.rename(f"{root}/out", f"{root}/out-of-batch-{batch}")
+    assert sorted(everything, key=str) == sorted(kept, key=str)
+
+
+def test_dedupe_with_bounded_state(spark, tmp_path):
+    root = str(tmp_path)
+    batches = [[(1, "A", at(1, 1), 1.0), (2, "A", at(1, 2), 2.0)], [(3, "A", at(1, 1), 3.0), (4, "A", at(9, 1), 4.0)], [(5, "A", at(9, 2), 5.0)],
+               [(6, "A", at(1, 1), 6.0), (7, "A", at(9, 1), 7.0), (8, "A", at(9, 3), 8.0)]]
+    for data in batches:
+        land(spark, f"{root}/in", data)
+        jobs.dedupe_stream(stream(spark, f"{root}/in"), f"{root}/out", f"{root}/cp", ["station", "t"], ["nr"], "day", event_time="t", delay="2 days")
+    assert [r.nr for r in spark.read.parquet(f"{root}/out").orderBy("nr").collect()] == [1, 2, 4, 5, 8], "6 is too late, 3 and 7 are copies"
+    with pytest.raises(ValueError, match="event time"):
+        jobs.dedupe_stream(stream(spark, f"{root}/in"), f"{root}/o", f"{root}/c", ["station"], ["nr"], "day", event_time="t", delay="1 day")
+
+
 def test_late_rows_change_their_day(spark, tmp_path):
     root = str(tmp_path)
     land(spark, f"{root}/in", [(1, "A", at(1, 1), 1.0), (2, "A", at(2, 1), 5.0)])
