@@ -46,8 +46,9 @@ FURNITURE_NAMES = frozenset(("ad ads advert adverts advertisement advertising sp
                              " contentinfo complementary search").split())
 HEADER_NAMES = frozenset(("header", "banner", "masthead", "topbar"))
 CONTENT = frozenset(("article", "main"))
-#: Elements that class and id words never judge: they stand for the page or its text.
-UNJUDGED = frozenset(("", "html", "body", "main", "article"))
+#: Elements that class and id words never judge: they stand for the page or its text, or head a part of it (ids of headings are often made of their words).
+UNJUDGED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split()) | {""}
+NEGATIONS = frozenset("no not non without with has".split())
 DISCUSSION = frozenset("comment comments discussion replies disqus".split())
 #: Elements that are pieces of a text, never the part that holds it.
 NARROW = frozenset("# p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre".split())
@@ -56,6 +57,16 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def label_words(attribute: str, value: str) -> list[str]:
+    """Words of a class, role or id for a label: those of an id begin with #, those that say what is not there (no-sidebar) with _."""
+    out = []
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        mark = "#" if attribute == "id" else "_" if words and (words[0] in NEGATIONS or name == "side-by-side") else ""
+        out += [mark + w for w in words]
+    return out
+
+
 def parse(page: str) -> list:
     """Tree of the page's block elements: [label, children], with ["#", text] for a run of text."""
     root = ["", []]
@@ -92,8 +103,7 @@ def parse(page: str) -> list:
             continue
         while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1][0], ()):
             stack.pop()
-        names = sorted({w for g in NAMES.findall(m.group(3)) for w in re.split(r"[^a-z]+", (g[1] or g[2] or g[3]).lower()) if w})
-        node = [".".join([tag, *names]), []]
+        node = [".".join([tag, *sorted({w for g in NAMES.findall(m.group(3)) for w in label_words(g[0].lower(), (g[1] or g[2] or g[3]).lower())})]), []]
         stack[min(len(stack), DEPTH) - 1][1][1].append(node)
         stack.append((tag, node if len(stack) < DEPTH else stack[DEPTH - 1][1]))
     close_run()
@@ -233,7 +243,12 @@ def furniture_tag(label: str, in_content: bool) -> bool:
 
 def furniture_names(label: str, in_content: bool) -> bool:
     tag, *names = label.split(".")
-    return tag not in UNJUDGED and (bool(FURNITURE_NAMES.intersection(names)) or (not in_content and bool(HEADER_NAMES.intersection(names))))
+    if tag in UNJUDGED:
+        return False
+    # an id in the text is an anchor, except that of the discussion; ids of pieces of a text are anchors everywhere
+    ids = {n[1:] for n in names if n[0] == "#" and tag not in NARROW}
+    judged = {n for n in names if n[0] != "#"} | (ids & DISCUSSION if in_content else ids)
+    return bool(FURNITURE_NAMES & judged) or (not in_content and bool(HEADER_NAMES & judged))
 
 
 def is_furniture(label: str, in_content: bool) -> bool:
@@ -265,7 +280,7 @@ def content_nodes(wrapper: list) -> Content:
     def number(node: list, parent: int, out: bool, inside: bool) -> None:
         me = len(nodes)
         tag, *names = node[0].split(".")
-        inside = inside or ((tag == "header" or bool(HEADER_NAMES.intersection(names))) and titled(node))
+        inside = inside or ((tag == "header" or bool(HEADER_NAMES.intersection(n.lstrip("#") for n in names))) and titled(node))
         out = out or (node[0] != "#" and furniture_tag(node[0], inside))
         nodes.append((node, parent, 0, out, inside))
         for c in node[2] if node[0] != "#" else ():
@@ -289,7 +304,7 @@ def content_nodes(wrapper: list) -> Content:
             break
     for i, (n, parent, end, out, inside) in enumerate(nodes):
         if parent >= 0 and not out and n[0] != "#":
-            most = 2 * held[i] > held[0] and (headed[i] or not DISCUSSION.intersection(n[0].split(".")[1:]))
+            most = 2 * held[i] > held[0] and (headed[i] or not DISCUSSION.intersection(w.lstrip("#") for w in n[0].split(".")[1:]))
             out = furniture_names(n[0], inside) and not most
         nodes[i] = (n, parent, end, out or (parent >= 0 and nodes[parent][3]), inside)
     tops = [i for i, (n, _, _, out, _) in enumerate(nodes) if not out and n[0].split(".")[0] in CONTENT]

@@ -144,3 +144,22 @@ def test_headline_and_lead_outside_the_body_part_stay(before, after):
     for i, text in enumerate(of_host(pages)):
         want = [before.format(i), *[f"p{i}{k}" for k in range(3 + i)], after.format(i)]
         assert text.split("\n") == [w for w in (re.sub("<[^>]*>", "", x) for x in want) if w]
+
+
+@pytest.mark.parametrize("part", [
+    '<h2 id="discussion">Discussion</h2>', '<h2 id="related-work">Related work</h2>', '<h3 id="search-results">Search results</h3>', '<h2 class="share">Share</h2>',
+    '<div class="side-by-side">two columns</div>', '<p class="no-skip">text</p>', '<p id="notice">text</p>', '<section id="menu"><p>The menu of the day</p></section>',
+    '<div id="banner-effects"><p>On banners</p></div>', '<ul id="related"><li>one</li></ul>', '<div class="without-sidebar">wide</div>'])
+@pytest.mark.parametrize("content", ["article", "main"])
+def test_anchors_and_negations_lose_no_text(part, content):
+    page = f"<body><nav>n</nav><{content}><h1>t{{0}}</h1><p>first{{0}}</p>{part}<p>last{{0}}</p></{content}><footer>f</footer></body>"
+    pages = [page.format(i) for i in range(3)]
+    text = re.sub("<[^>]*>", "", part)
+    assert of_host(pages) == [f"t{i}\nfirst{i}\n{text}\nlast{i}" for i in range(3)] and [alone(p) for p in pages] == of_host(pages)
+
+
+@pytest.mark.parametrize("part", [
+    "<div id=comments><p>c{0}</p></div>", "<section id=disqus-thread>c{0}</section>", "<div class=related-posts>r{0}</div>", "<ul class=pagination><li>{0}</li></ul>", "<p class=advert>buy{0}</p>"])
+def test_furniture_in_the_text_still_goes(part):
+    pages = [f"<body><article><h1>t{i}</h1><p>p{i}</p>{part.format(i)}</article><div id=sidebar>s{i}</div></body>" for i in range(3)]
+    assert of_host(pages) == [f"t{i}\np{i}" for i in range(3)]
