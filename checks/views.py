@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+# The cantons of the three maps, and five without a region.
 CANTON_LIST = "AI,AR,SG,GR,GL,FL,VD,FR,GE,NE,JU,BE,NW,OW,LU,UR,SZ,SO,TI,VS,ZH,AG,ZG,BL,TG"
 
 
+# Fixed values in the next three texts: region by canton, elevation classes, region ids.
 def region_case(canton: str, with_fl: bool) -> str:
     east = "'AI','AR','SG','GR','GL'" + (",'FL'" if with_fl else "")
     return (
@@ -31,6 +33,7 @@ HYEAR = (
 _PLACE = """concat('S', CAST(l_suppkey AS VARCHAR)) AS station_code, CAST(l_shipdate AS DATE) AS measure_date,
   46e0 + (l_suppkey * 7919 % 10007) * 12e-5 AS imis_latitude, 6e0 + (l_suppkey * 104729 % 10009) * 4e-4 AS imis_longitude"""
 
+# Scale of the fixed model, published centres, the four features.
 MEANS = [-6.0, 12.0, 150.0, 9.0]
 STDS = [6.0, 5.0, 60.0, 11.0]
 CENTRES = [

@@ -24,6 +24,8 @@ PANEL_REGIONS = {
     "Central Alps": ["OW", "SZ", "UR"],
     "Eastern Alps": ["FL", "GL", "GR", "SG"],
 }
+
+# The entries that stand for no choice and for no region.
 WHOLE_REGION = "Entire Alpine Region"
 ALL_CANTONS = "None"
 NO_REGION = "NONE"
@@ -51,6 +53,7 @@ CLUSTER_RISK = {
 }
 CLUSTER_COLOUR = {0: "orange", 1: "lightcoral", 2: "yellow", 3: "lightgreen", 4: "darkred"}
 
+# The four features of the clusters, in order.
 FEATURES = [
     "air_temp_mean_stations",
     "wind_speed_max_stations",
@@ -58,7 +61,7 @@ FEATURES = [
     "new_snow_mean_stations",
 ]
 
-# Published cluster centres in the order of FEATURES, then PCA1, PCA2 and row count.
+# Published cluster centres in the order of FEATURES.
 CLUSTER_CENTRES = {
     0: (-6.285643591167421, 18.49483392827083, 129.78317827130851, 5.29066352758422),
     1: (-4.693894034805795, 10.408894581898466, 243.5435446762975, 5.236722316845473),
@@ -66,6 +69,8 @@ CLUSTER_CENTRES = {
     3: (-0.5701687693371751, 8.813653415183442, 107.50668827781504, 2.718451822587358),
     4: (-8.102557921164715, 12.322565893350308, 177.4145874103066, 31.743459705916703),
 }
+
+# Published positions (PCA1, PCA2) of the centres.
 CLUSTER_POSITIONS = {
     0: (0.2075432818595524, 1.2608999997331323),
     1: (0.3945189001894583, -0.9640389400399944),
@@ -73,6 +78,8 @@ CLUSTER_POSITIONS = {
     3: (-1.219745314830272, -0.2898365395452599),
     4: (1.903858323010803, -0.2648304425879799),
 }
+
+# Published row counts of the clusters.
 CLUSTER_COUNTS = {0: 476, 1: 445, 2: 703, 3: 639, 4: 292}
 
 # Heat-map feature -> (column, bin width); width None means the value itself.
@@ -96,10 +103,12 @@ PANEL_MEASURES = {
 # Choices of the panels. Month slider of a winter season, October to April.
 SEASON_MONTHS = [10, 11, 12, 1, 2, 3, 4]
 WINTER_MONTHS = [11, 12, 1, 2, 3, 4]
-#: Shown in place of an empty panel (fixed value).
-NO_DATA = "No future data available"
 TREND_DAYS = 28
 
+# Fixed value: shown in place of an empty panel.
+NO_DATA = "No future data available"
+
+# Radii and the address of a station's sheet.
 EARTH_RADIUS_KM = 6373.0
 STATION_RADIUS_KM = 10.0
 STATION_URL = ("https://stationdocu.slf.ch/pdf/IMIS_", "_DE.pdf")
@@ -131,4 +140,6 @@ HISTORY_WEATHER = {
     "snow_surf_temp_day_mean": "snow_surf_temp_mean_stations",
     "snow_ground_temp_day_mean": "snow_ground_temp_mean_stations",
 }
+
+# The same for the snow history.
 HISTORY_SNOW = {"snow_height_cm": "snow_height_mean_stations", "new_snow_cm": "new_snow_mean_stations"}
