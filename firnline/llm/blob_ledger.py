@@ -57,22 +57,26 @@ RULES = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
 )
 BASE = 3
+#: Code points in a chunk of a text that is cut at spans.
+CHUNK = 1024
 
 
-def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
-    """Spans of one rule: the pieces between matches and the matches themselves give the positions."""
-    def placed(x: Column) -> Column:
-        none = F.array().cast(SPAN)
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("out"))
+def running(values: Column, combine) -> Column:
+    """Running combination of the numbers in an array, by doubling: n log n steps for n values, and no array grows value by value."""
+    steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
+    turns = F.when(steps > 0, F.sequence(F.lit(0), steps - 1)).otherwise(F.array().cast("array<int>"))
+    earlier = lambda a, i, k: F.get(a, i - F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(turns, values, lambda a, k: F.transform(a, lambda x, i: F.when(earlier(a, i, k).isNull(), x).otherwise(combine(x, earlier(a, i, k)))))
 
-        def step(a: Column, match: Column) -> Column:
-            begin = a["at"] + F.length(F.get(x["pieces"], a["i"]))
-            end = begin + F.length(match)
-            good = F.length(match if rule.group == 0 else F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least
-            span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-            return F.struct(end.alias("at"), (a["i"] + 1).alias("i"), F.when(good, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-        return F.aggregate(x["matches"], start, step, lambda a: a["out"])
+def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
+    """Spans of one rule: running lengths of the pieces between matches and the matches themselves give the positions."""
+    def placed(x: Column) -> Column:
+        lengths = F.transform(x["matches"], lambda m, i: F.length(F.get(x["pieces"], i)) + F.length(m))
+        good = lambda m: F.length(m if rule.group == 0 else F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least
+        spans = let(running(lengths, lambda u, v: u + v), lambda ends: F.transform(x["matches"], lambda m, i: F.when(good(m), F.struct(
+            (F.get(ends, i) - F.length(m)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end")))))
+        return F.filter(spans, lambda s: s.isNotNull())
 
     both = F.struct(F.split(text, rule.pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(rule.pattern), 0).alias("matches"))
     return F.when(text.rlike(rule.pattern), let(both, placed)).otherwise(F.array().cast(SPAN))
@@ -143,20 +147,32 @@ def counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         F.sha2(labelled(base), 256).alias("base_sha256"), labelled(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] >= BASE)).cast("long").alias("n_more"))
 
 
+def cut(chunks: Column, begin: Column, end: Column) -> Column:
+    """Code points begin to end (exclusive) of a text that is split in chunks of CHUNK code points."""
+    first, last = F.floor(begin / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    whole = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    part = lambda j: F.coalesce(F.get(chunks, j), F.lit(""))
+    return F.when(first == last, F.substring(part(first), begin % CHUNK + 1, end - begin)).otherwise(
+        F.concat(F.substring(part(first), begin % CHUNK + 1, F.lit(CHUNK)), whole, F.substring(part(last), F.lit(1), end % CHUNK)))
+
+
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """text with mark in place of its spans (sorted by start), overlapping ones as one; time grows with text and spans."""
+    def body(x: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(x["reach"], i - 1), F.lit(0))
+        parts = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(x["chunks"], before(i), s["start"]), F.lit(mark))))
+        rest = cut(x["chunks"], F.element_at(x["reach"], -1), F.length(text))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return let(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), 0).alias("chunks"), spans.alias("spans"), reach.alias("reach")), body)
+
+
 def redacted(docs: DataFrame, path: str | None = None, mark: str = "[secret]") -> DataFrame:
     """docs with every span (overlapping ones as one) replaced by mark, and n_chars (if there) counted anew."""
     found = scan(docs, path or shared_folder(docs.sparkSession, "secret-ledger"))
     rows = docs.select(F.struct("*").alias("doc"), blob_of(F.col("text")).alias("blob")).join(found, "blob", "left")
-    text = F.col("doc.text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        begin, inside = F.greatest(s["start"], a["at"]), s["start"] < a["at"]
-        out = F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, begin - a["at"]), F.lit(mark)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
-
-    clean = F.when(F.col("spans").isNull(), text).otherwise(
-        F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    clean = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(replaced(F.col("doc.text"), F.col("spans"), mark))
     rows = rows.select("doc", clean.alias("clean"))
     changed = {"text": F.col("clean"), "n_chars": F.when(F.col("clean").isNull(), F.col("doc")["n_chars"] if "n_chars" in docs.columns else F.lit(None)).otherwise(F.length("clean").cast("long"))}
     return rows.select(*[changed[c].alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns])

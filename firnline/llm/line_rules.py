@@ -24,7 +24,9 @@ LONG_LINE = 20
 MIN_WORDS = 50
 #: Rejected if more than this share of the words lies in failing lines (in hundredths).
 MOST_LOST = 50
-SENTENCE_END = r"[.!?…。؟][\"'”’»)\]]*(?:[\x20\x09-\x0D]|\z)"
+#: Sentence marks (Latin, ideographic, full-width, Arabic, Urdu, Indic, Armenian, Ethiopic, Khmer, Myanmar, Tibetan).
+MARKS = ".!?…。｡．！？؟۔।॥։።፧፨។៕။།"
+SENTENCE_END = rf"[{MARKS}][\"'”’»)\]]*(?:[\x20\x09-\x0D]|\z)"
 SHOUT_END = r"[!?][\"'”’»)\]]*(?:[\x20\x09-\x0D]|\z)"
 SYMBOL_RUN = SYMBOLS + r"{2,}[^\x20\x09-\x0D]*"
 BOILERPLATE = (r"(?i)(?:accept|use|uses|using) (?:all )?cookies|enable javascript|all rights reserved|terms of (?:use|service)"

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import odd
 import pytest
@@ -64,3 +65,34 @@ def test_redacted_keeps_rows_and_columns(spark):
     out = L.redacted(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert L.redacted(odd.empty(spark)).count() == 0
+
+
+def test_time_grows_with_the_matches(spark):
+    """Four times the matches in one text take well below the sixteen times that copying spans would."""
+    def text(n):
+        return "é" + " ".join(f"{i:024x} token=abc{i:06d}😀" for i in range(n))
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, text(n))], "doc_id long, text string").repartition(1)
+        began = time.time()
+        row = L.counts(docs).first()
+        clean = L.redacted(docs).first().text
+        took = time.time() - began
+        spans = by_hand(text(n))
+        assert (row.n_hex, row.n_assign) == (n, n)
+        assert row.base_sha256 == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+        assert clean == "é" + " ".join(["[secret] [secret]😀"] * n)
+        return took
+
+    seconds(10)
+    few = seconds(25_000)
+    assert seconds(100_000) < 8 * few
+
+
+@pytest.mark.parametrize("before, length", [(0, 1), (1023, 1), (1024, 1024), (1000, 3000), (5, 1019), (2048, 0)])
+def test_cuts_at_chunk_borders(spark, before, length):
+    """Texts with long secrets and long gaps around the borders of chunks, overlapping kinds as one span."""
+    secret = "token=" + "a" * (24 + length)  # a span of assign and one of hex inside it
+    text = "é" * before + " " + secret + "😀" * (before + 1) + secret
+    row = L.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.text == "é" * before + " [secret]" + "😀" * (before + 1) + "[secret]"

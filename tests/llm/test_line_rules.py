@@ -1,5 +1,7 @@
 import duckdb
 import odd
+import pytest
+from pyspark.sql import functions as F
 
 from firnline.llm import line_rules
 
@@ -32,3 +34,10 @@ def test_rules(spark):
              " ".join(["word"] * 25), odd.PROSE, "A short heading", ""]
     frame = spark.createDataFrame([(s,) for s in lines], "s string")
     assert [r[0] for r in frame.select(line_rules.failing(frame.s)).collect()] == [True, True, True, True, True, True, False, False, False]
+
+
+@pytest.mark.parametrize("mark", "।॥։።។။۔！？｡")
+def test_sentence_marks_of_other_scripts(spark, mark):
+    line = " ".join(["शब्द"] * 30)
+    got = spark.createDataFrame([(line + mark,), (line,)], "s string").select(line_rules.failing(F.col("s")).alias("f")).collect()
+    assert [r.f for r in got] == [False, True]
