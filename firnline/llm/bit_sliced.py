@@ -191,7 +191,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, id_c
     asked = plain(queries).dropDuplicates(["id"]).select(F.lit(0).alias("g"), "id", "v")
     asked = stored(_packed(asked, QUERY_ROWS, False), "slice-queries")
     everywhere = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    pairs = index.join(everywhere.hint("shuffle_hash"), "g").select("low", "ids", "data", "q_ids", "q_data")
+    # much work for each byte: partitions of a stated number are not merged by their size, and few groups meet in one
+    spread = groups + 64
+    pairs = index.repartition(spread, "g").join(everywhere.repartition(spread, "g").hint("shuffle_hash"), "g").select("low", "ids", "data", "q_ids", "q_data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

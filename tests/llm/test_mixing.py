@@ -41,9 +41,47 @@ def test_near_the_target_and_like_sql(spark, small):
 
 
 def test_inclusion_follows_probability(spark):
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(6000)], "doc_id long, text string, source string")
-    per = {}
+    """Of every source the words follow its ratio, and of every size the second copies follow their own probability."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7 * 3), "abc"[i % 3]) for i in range(9000)], "doc_id long, text string, source string")
+    ranked, state = mixing.mix_plan(docs)
+    levels = {r.source: r for r in state.collect()}
+    words, seconds = {}, {}
     for r in mixing.mix(docs).collect():
-        per.setdefault(r.target / r.source_size, []).append(r.taken / r.size)
-    for ratio, taken in per.items():
-        assert sum(taken) / len(taken) == pytest.approx(ratio, abs=0.03)
+        words.setdefault(r.source, []).append((r.taken, r.size, r.target / r.source_size))
+        seconds.setdefault((r.source, r.size), []).append(r.copies - levels[r.source].certain)
+    for pairs in words.values():
+        assert sum(t for t, _, _ in pairs) / sum(n for _, n, _ in pairs) == pytest.approx(pairs[0][2], abs=0.001)
+    shares = {}
+    for (source, size), taken in seconds.items():
+        m = size if size < 8 else size >> (size.bit_length() - 3) << (size.bit_length() - 3)
+        shares[source, size] = min(1.0, levels[source].level * m)
+        assert sum(taken) / len(taken) == pytest.approx(shares[source, size], abs=0.06)
+    assert len({round(p, 3) for p in shares.values() if 0 < p < 1}) > 3  # the odds differ inside a source
+
+
+def by_hand(sizes, rank, gap):
+    """Documents that a walk in order of rank takes, one by one."""
+    taken = set()
+    for i in sorted(sizes, key=rank.get):
+        if rank[i] == mixing.FIRST or 0 < sizes[i] <= gap and rank[i] < mixing.BIG:
+            taken.add(i)
+            gap -= 0 if rank[i] == mixing.FIRST else sizes[i]
+    near = [i for i in sizes if i not in taken and 0 < rank[i] < mixing.BIG and 0 < sizes[i] < 2 * gap]
+    return taken | set(sorted(near, key=rank.get)[:1])
+
+
+@pytest.mark.parametrize("rows_ordered", [5, 100_000])
+def test_cells_are_divided(spark, monkeypatch, rows_ordered):
+    """The same sample whether a cell is ordered at once or divided many times, and as in a plain walk."""
+    monkeypatch.setattr(mixing, "HOT_ROWS", rows_ordered)
+    monkeypatch.setattr(mixing, "CELLS", 4)
+    docs = spark.createDataFrame([(i, "w " * (1 + i * i % 97), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    ranked, state = mixing.mix_plan(docs)
+    rows, per = ranked.collect(), {r.source: r for r in state.collect()}
+    got = {r.doc_id for r in mixing.mix(docs).collect() if r.copies > per[r.source].certain}
+    want = set()
+    for source, s in per.items():
+        own = [r for r in rows if r.source == source]
+        sure = sum(r.size for r in own if r.rank == mixing.FIRST)
+        want |= by_hand({r.doc_id: r.size for r in own}, {r.doc_id: r.rank for r in own}, s.rest - sure)
+    assert got == want
