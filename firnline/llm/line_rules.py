@@ -24,9 +24,12 @@ LONG_LINE = 20
 MIN_WORDS = 50
 #: Rejected if more than this share of the words lies in failing lines (in hundredths).
 MOST_LOST = 50
-#: Sentence marks (Latin, ideographic, full-width, Arabic, Urdu, Indic, Armenian, Ethiopic, Khmer, Myanmar, Tibetan).
-MARKS = ".!?…。｡．！？؟۔।॥։።፧፨។៕။།"
-SENTENCE_END = rf"[{MARKS}][\"'”’»)\]]*(?:[\x20\x09-\x0D]|\z)"
+#: Sentence marks (Latin; ideographic, full-width, Arabic, Urdu, Indic, Armenian, Ethiopic, Khmer, Myanmar, Tibetan).
+LATIN_MARKS, OTHER_MARKS = ".!?", "…。｡．！？؟۔।॥։።፧፨។៕။།"
+AFTER_MARK = r"[\"'”’»)\]]*(?:[\x20\x09-\x0D]|\z)"
+#: The second form says the same for Java, which then asks most letters for a range before it asks for each mark.
+SENTENCE_END = rf"[{LATIN_MARKS}{OTHER_MARKS}]{AFTER_MARK}"
+SENTENCE_END_JAVA = rf"[{LATIN_MARKS}[\u0500-\uffff&&[{OTHER_MARKS}]]]{AFTER_MARK}"
 SHOUT_END = r"[!?][\"'”’»)\]]*(?:[\x20\x09-\x0D]|\z)"
 SYMBOL_RUN = SYMBOLS + r"{2,}[^\x20\x09-\x0D]*"
 BOILERPLATE = (r"(?i)(?:accept|use|uses|using) (?:all )?cookies|enable javascript|all rights reserved|terms of (?:use|service)"
@@ -56,7 +59,7 @@ def _count(text: Column, pattern: str) -> Column:
 def failing(line: Column) -> Column:
     """True for a line that the rules remove."""
     n = _count(line, WORD)
-    ends, shouts = _count(line, SENTENCE_END), _count(line, SHOUT_END)
+    ends, shouts = _count(line, SENTENCE_END_JAVA), _count(line, SHOUT_END)
     separators, symbols = F.size(F.filter(F.split(line, SPACE), lambda w: w.rlike(r"\A[|»›•·]+\z"))), _count(line, SYMBOL_RUN)
     return let(F.struct(n.alias("n"), ends.alias("e"), shouts.alias("s"), symbols.alias("y")), lambda m: F.when(m["n"] == 0, F.lit(False)).otherwise(
         ((m["e"] == 0) & (m["n"] >= LONG_LINE)) | (2 * m["s"] > m["n"]) | (5 * m["y"] >= m["n"])
