@@ -281,10 +281,11 @@ def score_words(docs: DataFrame, wanted: DataFrame, chunk: int = CHUNK) -> DataF
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     rows = docs.select(F.when(F.col("doc_id").isNull(), place("text")).otherwise(place("doc_id", salt)).alias("chunk"), "doc_id", "text", F.lit(False).alias("mark")) \
         .union(marks.select(place("doc_id", "salt"), "doc_id", F.lit(None).cast("string"), F.lit(True)))
-    # partitions follow the input, so that a task has two or three chunks at any size
-    rows, held = rows.repartition(chunks // 2 + 1, "chunk"), "n binary, t binary"
-    dealt = rows.groupBy("chunk").applyInArrow(deal_grams(chunks), f"bucket int, chunk long, prints binary, {held}")
-    totals = dealt.repartition(chunks // 2 + 1, "bucket").groupBy("bucket").applyInArrow(add_up, f"chunk long, bucket int, {held}, vocabulary long, words long, aimed long") \
-        .repartition(chunks // 2 + 1, "chunk")
+    # partitions and buckets follow the input: a task has two or three chunks at any size, a bucket as many grams as two chunks
+    parts, held = chunks // 2 + 1, "n binary, t binary"
+    rows = rows.repartition(parts, "chunk")
+    dealt = rows.groupBy("chunk").applyInArrow(deal_grams(parts), f"bucket int, chunk long, prints binary, {held}")
+    totals = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(add_up, f"chunk long, bucket int, {held}, vocabulary long, words long, aimed long") \
+        .repartition(parts, "chunk")
     return rows.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
         score_chunk, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
