@@ -69,6 +69,18 @@ def test_history_to_training(spark):
     assert got[0].snow_ground_temp_mean_stations is None and got[0].elevation_group == "3000"
 
 
+def test_training_rows_join_each_history_once_and_sort_nothing(spark, small):
+    """Neither the fill nor the weather join is repeated for the snow, and the order of the cleaned accidents, which the joins lose, is not made."""
+    from firnline.plans import adapters
+
+    accidents = history.clean_accidents(adapters.raw_accidents(spark, small))
+    rows_ = history.training_rows(accidents, adapters.hist_weather(spark, small), adapters.hist_snow(spark, small))
+    plan = rows_._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Join Inner" in line and "ASIN" in line for line in plan) == 2
+    assert sum("Relation" in line and "l_shipdate" in line for line in plan) == 2
+    assert not any("Sort [" in line for line in plan)
+
+
 def test_raw_accidents_are_cut_to_nine_columns_since_1992(spark):
     frame = spark.createDataFrame([(dt.date(1991, 12, 31),), (dt.date(1998, 5, 1),), (dt.date(1992, 1, 1),)], "date DATE")
     raw = frame.selectExpr("date", *[f"NULL AS {c}" for c in schemas.ACCIDENTS_RAW.fieldNames() if c != "date"])
